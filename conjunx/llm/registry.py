@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from conjunx.llm.decontaminate import op5_decontaminate
 from conjunx.llm.mixing import OP7_SQL, op7_mix
+from conjunx.llm.simhash import op6_simhash
 
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
+    "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
 }
 
