@@ -5,11 +5,15 @@ from __future__ import annotations
 from conjunx.llm.decontaminate import op5_decontaminate
 from conjunx.llm.mixing import OP7_SQL, op7_mix
 from conjunx.llm.simhash import op6_simhash
+from conjunx.llm.spotsigs import op9_fingerprint
+from conjunx.llm.url_filter import op10_urls
 
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
+    "op9_fingerprint": op9_fingerprint,
+    "op10_urls": op10_urls,
 }
 
 SQL = {"op7_mix": OP7_SQL}
