@@ -8,11 +8,13 @@ from conjunx.llm.mixing import OP7_SQL, op7_mix
 from conjunx.llm.simhash import op6_simhash
 from conjunx.llm.spotsigs import op9_fingerprint
 from conjunx.llm.token_count import op2_tokens
+from conjunx.llm.toxicity import op4_toxicity
 from conjunx.llm.url_filter import op10_urls
 
 QUERIES = {
     "op1_language": op1_language,
     "op2_tokens": op2_tokens,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
