@@ -5,6 +5,7 @@ from __future__ import annotations
 from conjunx.llm.decontaminate import op5_decontaminate
 from conjunx.llm.language_id import op1_language
 from conjunx.llm.mixing import OP7_SQL, op7_mix
+from conjunx.llm.pii import op3_pii
 from conjunx.llm.simhash import op6_simhash
 from conjunx.llm.spotsigs import op9_fingerprint
 from conjunx.llm.token_count import op2_tokens
@@ -14,6 +15,7 @@ from conjunx.llm.url_filter import op10_urls
 QUERIES = {
     "op1_language": op1_language,
     "op2_tokens": op2_tokens,
+    "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
