@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from conjunx.llm.decontaminate import op5_decontaminate
+from conjunx.llm.html_text import op8_text
 from conjunx.llm.language_id import op1_language
 from conjunx.llm.mixing import OP7_SQL, op7_mix
 from conjunx.llm.pii import op3_pii
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_mix": op7_mix,
+    "op8_text": op8_text,
     "op9_fingerprint": op9_fingerprint,
     "op10_urls": op10_urls,
 }
