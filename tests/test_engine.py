@@ -1,0 +1,199 @@
+import random
+
+import duckdb
+import pytest
+
+from conjunx import DialectError, Engine, Select
+from conjunx.plans import joinorder
+from conjunx.plans.joinorder import Stats
+from conjunx.suite import QUERIES, SQL, TABLES, engine
+
+
+@pytest.fixture(scope="module")
+def db(data):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    return con
+
+
+@pytest.fixture(scope="module")
+def e(spark, data):
+    return engine(spark, data)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def same(a, b):
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, a)) == sorted(map(key, b))
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_catalogue_against_sql(spark, data, db, name):
+    df = QUERIES[name](spark, data)
+    columns = sorted(df.columns)
+    found = rows(df.select(*(f"`{c}`" for c in columns)))
+    wanted = db.sql(SQL[name])
+    order = [wanted.columns.index(c) for c in columns]
+    same(found, [tuple(r[k] for k in order) for r in wanted.fetchall()])
+
+
+def test_order_is_total(e, db):
+    sql = "SELECT c_nationkey, c_mktsegment, c_custkey FROM customer ORDER BY c_mktsegment"
+    assert rows(e.sql(sql)) == db.sql(f"{sql}, c_nationkey, c_custkey").fetchall()
+
+
+def test_distinct_is_sorted(e, db):
+    sql = "SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem"
+    assert rows(e.sql(sql)) == db.sql(f"{sql} ORDER BY l_suppkey, l_linenumber").fetchall()
+    assert rows(e.sql(f"{sql} ORDER BY l_linenumber")) == db.sql(f"{sql} ORDER BY l_linenumber, l_suppkey").fetchall()
+
+
+def test_star_keeps_from_order(e):
+    df = e.sql("SELECT * FROM region r, nation n, customer c WHERE n.n_regionkey = r.r_regionkey AND c.c_nationkey = n.n_nationkey")
+    assert df.columns == ["r_regionkey", "r_name", "n_nationkey", "n_name", "n_regionkey", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def test_self_join_star_names(e):
+    df = e.sql("SELECT * FROM region a, region b WHERE a.r_regionkey = b.r_regionkey")
+    assert df.columns == ["a.r_regionkey", "a.r_name", "b.r_regionkey", "b.r_name"]
+    assert df.count() == 5
+
+
+PIECES = {
+    "customer c": (["c.c_custkey", "c.c_nationkey"], 150),
+    "orders o": (["o.o_orderkey", "o.o_custkey"], 150),
+    "supplier s": (["s.s_suppkey", "s.s_nationkey"], 25),
+    "nation n": (["n.n_nationkey", "n.n_regionkey"], 25),
+    "region r": (["r.r_regionkey"], 5),
+}
+
+
+def random_query(draw):
+    tables = draw.sample(sorted(PIECES), draw.randint(1, 4))
+    cols = [c for t in tables for c in PIECES[t][0]]
+    where = []
+    for k in range(1, len(tables)):
+        if draw.random() < 0.9:
+            where.append(f"{draw.choice(PIECES[tables[draw.randrange(k)]][0])} = {draw.choice(PIECES[tables[k]][0])}")
+    for _ in range(draw.randint(0, 4)):
+        op = draw.choice(["<", ">", "<=", ">=", "=", "<>"])
+        right = draw.choice(cols) if draw.random() < 0.3 else str(draw.randint(-2, 40))
+        left = draw.choice(cols)
+        where.append(f"{right} {op} {left}" if draw.random() < 0.3 else f"{left} {op} {right}")
+    limit = [f"{c} < {draw.randint(5, 15)}" for c in cols if c in ("o.o_orderkey", "c.c_custkey")]
+    return tables, draw.sample(cols, draw.randint(1, len(cols))), where + limit
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_random_queries(spark, data, e, db, seed):
+    draw = random.Random(seed)
+    tables, cols, where = random_query(draw)
+    named = ", ".join(f"{c} AS x{k}" for k, c in enumerate(cols))
+    tail = f" WHERE {' AND '.join(where)}" if where else ""
+    sql = f"SELECT {draw.choice(['', 'DISTINCT '])}{named} FROM {', '.join(tables)}{tail}"
+    wanted = db.sql(sql).fetchall()
+    same(rows(e.sql(sql)), wanted)
+    draw.shuffle(tables)
+    draw.shuffle(where)
+    again = f"{sql.split(' FROM ')[0]} FROM {', '.join(tables)}" + (f" WHERE {' AND '.join(where)}" if where else "")
+    same(rows(Engine_without_order(spark, data).sql(again)), wanted)
+
+
+def Engine_without_order(spark, data):
+    out = engine(spark, data)
+    out.reorder = False
+    return out
+
+
+def test_bound_reaches_every_equal_column(e):
+    for tables in ("supplier s, customer c, nation n", "nation n, supplier s, customer c"):
+        df = e.sql(f"SELECT s.s_suppkey, c.c_custkey FROM {tables} WHERE s.s_nationkey = c.c_nationkey AND c.c_nationkey = n.n_nationkey AND n.n_nationkey < 3")
+        text = df._jdf.queryExecution().toString()
+        for column in ("s_nationkey", "c_nationkey", "n_nationkey"):
+            assert f"LessThan({column},3)" in text
+
+
+def test_scan_reads_what_is_used(e):
+    text = e.sql("SELECT c_custkey FROM customer WHERE c_nationkey = 3")._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int>" in text and "EqualTo(c_nationkey,3)" in text
+
+
+def test_contradictions_read_nothing(e):
+    for where in ("c_custkey > 5 AND c_custkey < 3", "c_custkey = 1 AND c_custkey = 2", "1 > 2"):
+        df = e.sql(f"SELECT c_custkey FROM customer WHERE {where}")
+        assert "LocalTableScan <empty>" in df._jdf.queryExecution().executedPlan().toString() and df.count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT nothing FROM nation",
+        "SELECT x.n_name FROM nation n",
+        "SELECT n_name FROM nation a, nation b",
+        "SELECT n_name FROM nation a, region a",
+        "SELECT n_name FROM nowhere",
+        "SELECT n_name FROM nation ORDER BY n_nationkey",
+        "SELECT n_name FROM nation WHERE n_name = 3",
+        "SELECT n_name FROM nation, region WHERE n_name = r_regionkey",
+    ],
+)
+def test_unresolvable(e, text):
+    with pytest.raises(DialectError):
+        e.sql(text)
+
+
+def test_nulls_are_rejected_by_comparisons(spark):
+    e = Engine(spark).register("t", frame=spark.createDataFrame([(1, None), (None, 2), (3, 3)], "a int, b int"))
+    assert rows(e.sql("SELECT a FROM t WHERE a = a ORDER BY a")) == [(1,), (3,)]
+    assert rows(e.sql("SELECT a FROM t WHERE a = b")) == [(3,)]
+    assert rows(e.sql("SELECT a FROM t WHERE b <> 7 AND a >= 0")) == [(3,)]
+    assert e.sql("SELECT t.a FROM t, t u WHERE t.b = u.a").count() == 1
+
+
+def test_join_order_starts_small_and_stays_linked(e):
+    q = "SELECT l.l_orderkey FROM lineitem l, region r, nation n, customer c, orders o WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_regionkey = 2"
+    order = [s.scan.alias for s in e.plan(q).steps]
+    assert set(order[:2]) == {"r", "n"} and order[-1] == "l"
+    assert all(s.equal for s in e.plan(q).steps[1:])
+
+
+def test_greedy_order_for_many_tables(e, monkeypatch):
+    q = "SELECT s.s_suppkey FROM supplier s, region r, nation n WHERE s.s_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey"
+    exact = [s.scan.alias for s in e.plan(q).steps]
+    monkeypatch.setattr(joinorder, "EXACT", 1)
+    assert set(exact) == {s.scan.alias for s in e.plan(q).steps}
+
+
+def test_stats_come_from_footers(spark, data, db):
+    e = engine(spark, data)
+    assert e.catalog.stats("orders", ("o_orderkey", "o_orderstatus")) == Stats(1500, {"o_orderkey": db.sql("SELECT min(o_orderkey), max(o_orderkey) FROM orders").fetchall()[0]})
+    assert "orders" in e.catalog.describe() and "1500 rows" in e.catalog.describe()
+
+
+def test_explain(e):
+    logical, physical = e.explain("SELECT DISTINCT c.c_custkey, n.n_name FROM customer c, nation n WHERE c.c_nationkey = n.n_nationkey AND n.n_nationkey < 3 AND c.c_custkey < n.n_regionkey ORDER BY c.c_custkey")
+    assert logical.splitlines() == [
+        "DupElim",
+        "-Sort[c.c_custkey]",
+        "--Project[c.c_custkey, n.n_name]",
+        "---Join[c.c_custkey < n.n_regionkey]",
+        "---[[c.c_nationkey, n.n_nationkey], equals null, min null, max 3]",
+        "----Select[c.c_nationkey < 3]",
+        "-----Leaf[customer]",
+        "----Select[n.n_nationkey < 3]",
+        "-----Leaf[nation]",
+    ]
+    assert physical.splitlines()[:4] == ["DupElim", "-ExternalSort[c.c_custkey]", "--Project[c.c_custkey, n.n_name]", "---SMJ[c.c_nationkey = n.n_nationkey AND c.c_custkey < n.n_regionkey]"]
+    assert "BNLJ[null]" in e.explain(Select("n_name", "r_name").from_("nation").from_("region"))[1]
+
+
+def test_clustered_copy_is_used(spark, data, tmp_path, db):
+    e = engine(spark, data).cluster("orders", "o_custkey", str(tmp_path / "copy"), partitions=4)
+    q = "SELECT o_orderkey FROM orders WHERE o_custkey > 20 AND o_custkey <= 30"
+    assert "IndexScan[orders,o_custkey,20,30]" in e.explain(q)[1]
+    same(rows(e.sql(q)), db.sql(q).fetchall())
+    assert "TableScan[orders]" in e.explain("SELECT o_orderkey FROM orders")[1]
