@@ -1,0 +1,114 @@
+import random
+
+import numpy as np
+import pytest
+
+from conjunx.llm import html_text as H
+
+PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
+<nav><ul><li>a<li>b</ul></nav><div class="cookie-notice">We use cookies</div><main><article class="post comments-open"><header><h1>Title &amp; more</h1>
+<p>by me</p></header><p>One<br>two <b>bold</b>&nbsp;x<p>Three<aside>side</aside><div class="ad-slot">buy <div>now</div></div><form><input>name</form>
+<ul><li>i1<li>i2</ul><table><tr><td>c1<td>c2</table><script>var a="<p>";</script><!-- <p>no</p> --><section id="comments"><article class="comment">
+<p>first!</p></article></section><p hidden>h</p><p style="display: none">h</p><footer>f</footer><p>&lt;End&gt; &#233;&eacute; 1 < 2</article></main><footer>foot</footer></body></html>"""
+
+
+def test_article():
+    assert H.main_blocks(PAGE) == (True, ["Title & more", "One two bold x", "Three", "i1", "i2", "c1", "c2", "<End> éé 1 < 2"])
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("", []),
+        ("plain & simple", ["plain & simple"]),
+        ("<nav>menu<div>x</div><article><p>ok</article>tail", ["ok"]),
+        ("<p>a</p><!-- open", ["a"]),
+        ("x<b", ["x"]),
+        ("<div class=sidebar>s</div><p>a <a href='x>y'>l</a>", ["a l"]),
+        ("<article>a<span class=ad>x<span>y</span>z</span>b</article>", ["ab"]),
+        ("<article><p>a</p></article><article><p>b</p></article>c", ["a", "b"]),
+        ("<script>if (a < b) '</p>'</script>t<textarea><p>z</textarea>", ["t"]),
+        ("<ARTICLE><P>A</ARTICLE>", ["A"]),
+        ("<nav>only</nav><footer>these</footer>", []),
+        ("</p></div>a</b>", ["a"]),
+    ],
+)
+def test_pages(page, blocks):
+    assert H.main_blocks(page)[1] == blocks
+
+
+def test_long_and_broken_pages_are_linear():
+    for page in ("<" * 200000, '<a "' * 50000, "<div>" * 50000 + "x", "<i>" * 20000 + "</b>" * 20000, "<!--" * 50000, "&" * 100000, "<script>" * 20000):
+        H.main_blocks(page)
+
+
+def brute(stream, page, least, pages):
+    covered = [False] * len(stream)
+    where = {}
+    for k in range(len(stream) - least + 1):
+        if -1 not in page[k : k + least]:
+            where.setdefault(tuple(stream[k : k + least]), []).append(k)
+    for places in where.values():
+        if len({page[k] for k in places}) >= pages:
+            for k in places:
+                covered[k : k + least] = [True] * least
+    return covered
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_repeats_against_brute_force(seed):
+    draw = random.Random(seed)
+    stream, page = [], []
+    for k in range(draw.randint(1, 6)):
+        n = draw.randint(0, 30)
+        stream += [draw.randint(0, 2) for _ in range(n)] + [-1 - k]
+        page += [k] * n + [-1]
+    least, pages = draw.randint(1, 9), draw.randint(1, 3)
+    assert H.repeated(np.array(stream), np.array(page), least, pages).tolist() == brute(stream, page, least, pages)
+
+
+def test_suffix_array_is_sorted():
+    draw = np.random.default_rng(2)
+    stream = draw.integers(0, 3, 200)
+    order, _ = H.suffix_array(stream, 200)
+    suffixes = [stream[k:].tolist() for k in order]
+    assert suffixes == sorted(suffixes)
+
+
+def test_boilerplate_of_a_host_goes(spark):
+    top, end = "<div>Home</div><div>About us</div><div>Contact</div>", "<p>Copyright by the company of this host for ever and all of its friends</p>"
+    own = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(6)]
+    rows = [(k, f"http://h.example.com/{k}", f"<body>{top}<p>{t}</p>{end}</body>") for k, t in enumerate(own)]
+    rows += [(9, "http://other.example.com/", f"<body>{top}<p>alone</p></body>")]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**dict(enumerate(own)), 9: "Home\nAbout us\nContact\nalone"}
+
+
+def test_a_passage_of_articles_stays(spark):
+    rows = [(k, "http://h.example.com/", f"<article><p>This work is licensed under the very same license everywhere</p><p>t{k}</p></article>") for k in range(5)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "This work is licensed under the very same license everywhere\nt3"
+
+
+def test_edges(spark, folder, monkeypatch):
+    long = "word " * 100000
+    rows = [(1, None, None, 1), (2, "u", "", 1), (3, None, f"<p>{long}</p>", 1), (3, None, f"<p>{long}</p>", 1), (None, "http://a/", PAGE, 1), (4, "http://a/", "<nav>x</nav>", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    got = H.op8_text(spark, folder(pages=df)).collect()
+    assert sorted(((r.page_id, r.url, r.n_chars) for r in got), key=str) == sorted([(1, None, 0), (2, "u", 0), (3, None, 499999), (3, None, 499999), (None, "http://a/", len("\n".join(H.main_blocks(PAGE)[1]))), (4, "http://a/", 0)], key=str)
+    assert H.extract(df.limit(0)).count() == 0
+    monkeypatch.setattr(H, "SHARD_CHARS", 10)  # shards change where repeats are looked for, not which pages there are
+    assert H.extract(df).count() == len(rows)
+
+
+def test_query(spark, data):
+    import html
+    import re
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = H.op8_text(spark, data).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        article = re.search("<article>(.*?)</article>", pages[r.page_id].html, re.S)[1]
+        parts = re.split("</?(?:p|h1)>", re.sub("<br>|</?b>", " ", article))
+        assert r.text == "\n".join(x for p in parts if (x := " ".join(html.unescape(p).split()))) and r.n_chars == len(r.text)

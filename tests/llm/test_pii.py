@@ -1,0 +1,92 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from conjunx.llm import pii
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+TOKEN = 'token = "0123456789abcdef0123456789abcdef01234567"'
+
+
+def luhn(digits):
+    doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
+
+
+def passes(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    return {"email": True, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+
+
+def base(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if passes(k, m.group())]
+
+
+def check(spark, folder, rows):
+    got = pii.op3_pii(spark, folder(documents=spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(got) == len(rows)
+    want = {k: base(t) for k, t in rows}
+    for r in got:
+        spans = want[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in spans) for k in pii.KINDS]
+        assert set(spans) <= set(r.spans.split(","))  or not spans
+    return {r.doc_id: r.spans for r in got}
+
+
+def test_base_spans_of_random_texts(spark, folder):
+    draw = random.Random(7)
+    parts = ["a@b.cd@e.f ", "1.2.3.4.5.6.7.8", "999.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 123-4567", "é😀", "+12--34.5 6", "0000000255.1.1.001", "x_y@z", "..", "@", "-", "1", "22", "+", "\n", TOKEN, " call 555-123-4567 ", "a.b-c_d%e+f@g.h.i.", "5500 0000 0000 0004 1"]
+    check(spark, folder, [(k, "".join(draw.choice(parts) for _ in range(draw.randint(0, 40)))) for k in range(300)])
+
+
+def test_long_and_empty_texts(spark, folder):
+    rows = [(1, None), (2, ""), (3, "1" * 50000), (4, "a" * 50000 + "@b.c" + ".d" * 20000), (5, "a@b.co " * 1500), (6, "+1" + " -" * 20000), (7, "1 " * 30000), (8, "1.1." * 9000)]
+    check(spark, folder, rows)
+
+
+def test_added_spans(spark, folder):
+    texts = [f"word {TOKEN} more" for _ in range(30)] + ["please write to bob [at] example [dot] com today"] * 20 + ["commit 0123456789abcdef0123456789abcdef01234567 done"] * 3 + ["some-long-page-name-with-words-2020"] * 20
+    spans = check(spark, folder, list(enumerate(texts)))
+    assert spans[0] == f"secret:{texts[0].index('0123')}:{texts[0].index('0123') + 40}"
+    assert spans[30].startswith("address:16:")
+    assert spans[60] == ""
+
+
+def test_reliabilities_find_the_good_labeler():
+    draw = random.Random(3)
+    counts = {}
+    for _ in range(3000):
+        truth = draw.random() < 0.4
+        votes = tuple((1 if truth == (draw.random() < p) else -1) if draw.random() < 0.8 else 0 for p in (0.95, 0.8, 0.75, 0.7))
+        counts[votes] = counts.get(votes, 0) + 1
+    share, chances, posterior = pii.reliabilities(sorted(counts.items()))
+    assert share == pytest.approx(0.4, abs=0.06)
+    right = [c[1][2] / (c[1][0] + c[1][2]) for c in chances]
+    assert right[0] == max(right) and right[0] == pytest.approx(0.95, abs=0.04) and right[3] == pytest.approx(0.7, abs=0.06)
+    assert posterior[(1, 1, 1, 1)] > 0.9 > 0.1 > posterior[(-1, -1, -1, -1)]
+
+
+def test_redact(frame):
+    rows = [(1, "mail a@b.co or +1 (555) 123-4567, é 4111 1111 1111 1111!"), (2, "nothing"), (3, None), (4, ""), (5, "1.2.3.4"), (None, "kept")]
+    got = {r.doc_id: r.text for r in pii.redact(frame(rows, clash=True)).collect()}
+    assert got == {1: "mail <EMAIL> or <PHONE>, é <CARD>!", 2: "nothing", 3: None, 4: "", 5: "<IP>", None: "kept"}
+    assert pii.redact(frame([], clash=True)).count() == 0
+
+
+def test_no_python_on_the_executors(spark, data):
+    df = pii.op3_pii(spark, data)
+    assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
+
+
+def test_sums_before(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 255, 256, 257, 700):
+        lens = [k % 5 for k in range(n)]
+        got = spark.createDataFrame([(lens,)], "l array<int>").select(pii._sums_before(F.col("l"))).first()[0]
+        assert got == [sum(lens[:k]) for k in range(n)]
