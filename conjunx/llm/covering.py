@@ -111,7 +111,9 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     tables = F.array(*(F.lit(_signed(m)) for m in masks(radius)))
     rows = nodes.select("node", F.posexplode("fp").alias("place", "fp")).select("node", "fp", "place", F.posexplode(tables).alias("table", "mask"))
     rows = rows.select("node", "fp", F.xxhash64("place", "table", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
-    hot = rows.groupBy("bucket").count().where(F.col("count") > PART_ROWS).select(F.col("bucket").alias("hot"), F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
+    rate = max(1, PART_ROWS // 1000)  # buckets to split are found by every rate-th node: where a split begins need not be exact
+    counted = rows.where(F.pmod(F.xxhash64("node", F.lit("rate")), F.lit(rate)) == 0).groupBy("bucket").count().withColumn("count", F.col("count") * rate)
+    hot = counted.where(F.col("count") > PART_ROWS).select(F.col("bucket").alias("hot"), F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
     rows = rows.join(hot, F.col("bucket") == F.col("hot"), "left")
     own = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1), lambda k: F.xxhash64("bucket", F.least(k, own), F.greatest(k, own)))

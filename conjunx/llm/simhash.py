@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conjunx.llm import covering
-from conjunx.llm.common import cut, pick, table, utf8
+from conjunx.llm.common import cut, pick, small, table, utf8
 from conjunx.llm.components import stars
 
 SEED = 42
 #: Bins of a sketch, a byte each; 0 is an empty bin.
 BINS = 256
+#: Ids of copies are broadcast up to this number of rows, some 80 MB.
+BROADCAST_ROWS = 2_000_000
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -88,7 +90,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """doc_id, fp (signed 64-bit SimHash of the text's shingles of ``size`` words).  A null text has no words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             fps = [fingerprint(hashes(shingles(t or b"", size))) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -119,7 +121,7 @@ def _features(docs: DataFrame, seeds: int, size: int) -> DataFrame:
     kind = docs.schema["node"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             wholes, fps, sketches = [], [], []
             for t in utf8(batch.column("text")):
                 words = (t or b"").lower().split()
@@ -138,7 +140,7 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b, x, y) of which the sketches x and y agree in at least ``least`` of the bins in use."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
@@ -173,7 +175,9 @@ def drop_copies(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFr
     """``docs`` without the documents of which a near copy with a smaller id is kept."""
     own = docs.columns
     plain, key = docs.toDF(*(f"c{k}" for k in range(len(own)))), f"c{own.index(doc_id)}"
-    gone = copies(docs, doc_id=doc_id, **options).select(F.col("node").alias("gone"))
+    gone = cut(copies(docs, doc_id=doc_id, **options).select(F.col("node").alias("gone")))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)  # else texts are shuffled
     return plain.join(gone, plain[key] == F.col("gone"), "left_anti").toDF(*own)
 
 
