@@ -38,6 +38,13 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def small(batches, rows: int = 2000):
+    """The same rows in batches of at most ``rows``, so that a worker turns few texts into Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def id_bucket(doc_id: str, mod: int):
     """crc32 of the id as text, modulo ``mod``: the split of rows that contracts name."""
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")), F.lit(mod))

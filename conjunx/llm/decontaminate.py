@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import cut, pick, table, utf8
+from conjunx.llm.common import cut, pick, small, table, utf8
 from conjunx.llm.suffix_automaton import SuffixAutomaton
 
 #: Most characters of items in one automaton (some 100 MB in a worker).
@@ -25,6 +25,7 @@ BLOCK_CHARS = 1_000_000
 #: A-Z in lower case, every other ASCII character but digits and letters a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_ADDED = ("n_words", "hits", "items")
 _HITS = "array<struct<start:int,stop:int>>"
 
 
@@ -63,18 +64,25 @@ def find(text: bytes, automaton: SuffixAutomaton) -> tuple[int, list[tuple[int,
     return len(parts), _union(hits), labels
 
 
+def _found(batch: pa.RecordBatch, automaton: SuffixAutomaton) -> tuple[list, list, list]:
+    """Words, hits and items of each row, with what the columns hits and items have already."""
+    counts, spans, items = [], [], []
+    old = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+    for text, hits, labels in zip(utf8(batch.column("text")), *old, strict=True):
+        n, new, named = find(text or b"", automaton)
+        counts.append(n)
+        spans.append(_union(new + [(h["start"], h["stop"]) for h in hits]))
+        items.append(sorted(named.union(labels)))
+    return counts, spans, items
+
+
 def _scan(df: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches):
-        for batch in batches:
-            counts, spans, items = [], [], []
-            old = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-            for text, hits, labels in zip(utf8(batch.column("text")), *old, strict=True):
-                n, new, named = find(text or b"", shared.value)
-                counts.append(n)
-                spans.append([{"start": a, "stop": b} for a, b in _union(new + [(h["start"], h["stop"]) for h in hits])])
-                items.append(sorted(named.union(labels)))
+        for batch in small(batches):
+            counts, spans, items = _found(batch, shared.value)
+            spans = [[{"start": a, "stop": b} for a, b in s] for s in spans]
             kinds = {f.name: f.type for f in batch.schema}
             done = {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(spans, kinds["hits"]), "items": pa.array(items, kinds["items"])}
             yield pa.RecordBatch.from_arrays([done.get(c, batch.column(c)) for c in batch.schema.names], schema=batch.schema)
@@ -82,6 +90,36 @@ def _scan(df: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def _scan_and_cut(df: DataFrame, automaton: SuffixAutomaton, most_covered: float) -> DataFrame:
+    """As ``_scan``, and in the same pass cuts hits out of texts and drops texts that are covered too far."""
+    shared = df.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches):
+        for batch in small(batches):
+            counts, spans, _ = _found(batch, shared.value)
+            if any(spans):
+                texts = batch.column("text").to_pylist()
+                new = [_without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+                batch = batch.set_column(batch.schema.names.index("text"), batch.schema.field("text"), pa.array(new, batch.schema.field("text").type))
+                batch = batch.filter(pa.array([sum(b - a for a, b in s) <= n * most_covered for n, s in zip(counts, spans, strict=True)]))
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _prepared(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(*(c for c in docs.columns if c != text), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
+
+
+def _automata(items: DataFrame, item_id: str, item_text: str, window: int, block_chars: int):
+    """An automaton for each block of items, at least one."""
+    source = pick(items, id=item_id, text=item_text).where("text is not null")
+    blocks = max(1, math.ceil((source.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
+    for k in range(blocks):
+        rows = source.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).select(F.col("id").cast("string"), "text").toLocalIterator()
+        yield k + 1 == blocks, SuffixAutomaton(((r.id, words(r.text.encode())) for r in rows), window)
+
+
 def scan(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with n_words (long), hits (word ranges inside occurring windows, united and in order) and items
     (ids, as text in code point order, of the items with occurring windows).
@@ -90,15 +128,13 @@ def scan(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     whose id is null count, but it is not named.  Repeated items and documents are judged each by itself; an
     empty item table hits nothing.  Columns of ``docs`` named text_, n_words, hits or items are replaced.
     """
-    source = pick(items, id=item_id, text=item_text).where("text is not null")
-    blocks = max(1, math.ceil((source.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
-    extra = [c for c in docs.columns if c not in ("n_words", "hits", "items", text)]
-    df = docs.select(*(F.col(f"`{c}`") for c in extra), F.col(f"`{text}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
-    for k in range(blocks):
-        rows = source.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).select(F.col("id").cast("string"), "text").toLocalIterator()
-        automaton = SuffixAutomaton(((r.id, words(r.text.encode())) for r in rows), window)
-        df = _scan(cut(df) if k else df, automaton)
-    return df if text == "text" else df.withColumnRenamed("text", text)
+    own = [c for c in docs.columns if c not in _ADDED]
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)))
+    column = f"c{own.index(text)}"
+    df = _prepared(plain, column)
+    for last, automaton in _automata(items, item_id, item_text, window, block_chars):
+        df = _scan(df, automaton) if last else cut(_scan(df, automaton))
+    return df.withColumnRenamed("text", column).select(*plain.columns, *_ADDED).toDF(*own, *_ADDED)
 
 
 def _without(text: str, hits: list) -> str:
@@ -106,31 +142,21 @@ def _without(text: str, hits: list) -> str:
     raw = text.encode()
     at = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]
     out, pos = [], 0
-    for h in hits:
-        out.append(raw[pos : at[h["start"]][0]])
-        pos = at[h["stop"] - 1][1]
+    for a, b in hits:
+        out.append(raw[pos : at[a][0]])
+        pos = at[b - 1][1]
     return b"".join([*out, raw[pos:]]).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", window: int = 10, most_covered: float = 0.5, **names: str) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, most_covered: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs``, same columns, with every hit word range cut out of its text; a document of which more than
     ``most_covered`` of the words are hit is dropped.  Documents without hits pass unchanged, null texts too."""
     own = docs.columns
     plain, column = docs.toDF(*(f"c{k}" for k in range(len(own)))), f"c{own.index(text)}"
-    found = scan(plain, items, text=column, window=window, **names)
-    covered = F.aggregate("hits", F.lit(0), lambda n, h: n + h["stop"] - h["start"])
-    kept = found.where(covered <= F.col("n_words") * F.lit(most_covered)).select(*plain.columns, "hits")
-
-    def run(batches):
-        for batch in batches:
-            hits = batch.column("hits").to_pylist()
-            columns = batch.columns[:-1]
-            if any(hits):
-                k = batch.schema.names.index(column)
-                columns[k] = pa.array([_without(t, h) if h else t for t, h in zip(columns[k].to_pylist(), hits, strict=True)], columns[k].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    return kept.mapInArrow(run, plain.schema).toDF(*own)
+    df = _prepared(plain, column)
+    for last, automaton in _automata(items, item_id, item_text, window, block_chars):
+        df = _scan_and_cut(df, automaton, most_covered) if last else cut(_scan(df, automaton))
+    return df.withColumnRenamed("text", column).select(*plain.columns).toDF(*own)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

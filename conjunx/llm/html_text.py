@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import pick, table
+from conjunx.llm.common import pick, small, table
 from conjunx.llm.url_filter import host_of
 
 LEAST, PAGES = 8, 3
@@ -235,7 +235,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", bod
     schema = f"page_id {kind}, url string, text string"
 
     def parse(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = ["\n".join(main_blocks(t)[1]) for t in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from conjunx.llm.common import id_bucket, pick, table
+from conjunx.llm.common import id_bucket, pick, small, table
 
 #: Labelled documents a language that training reads, about.
 SAMPLE = 2000
@@ -33,7 +33,7 @@ FOREIGN = 20.0
 #: A language uses a script that has at least this share of its letters.
 USES = 0.01
 #: Characters that are looked at together.
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 #: Ranges of code points by script; what is in none is of the script 0.
 SCRIPTS = (
@@ -139,7 +139,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
 
     def run(batches):
         total = np.zeros((len(langs), width), np.int64)
-        for batch in batches:
+        for batch in small(batches):
             texts, own = batch.column("text").to_pylist(), [place[x] for x in batch.column("lang").to_pylist()]
             for part in _chunks(texts):
                 w = words_of([texts[k] for k in part])
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> Dat
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             found: list = [("und", 0.0, [])] * len(texts)
             for part in _chunks(texts) if shared.value else []:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import pick, session_parts, table
+from conjunx.llm.common import pick, session_parts, small, table
 from conjunx.llm.decontaminate import words
 
 CHAIN = 2
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     plain = pick(docs, doc_id=doc_id, text=text)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             sets = [signatures(t or "").astype(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "signatures"])
 
@@ -129,7 +129,7 @@ def op9_fingerprint(spark, sf_dir: str) -> DataFrame:
 
     def run(batches):
         last = None
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in names]
             for doc_id, text, part, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "copy")), strict=True):
                 text = text or ""

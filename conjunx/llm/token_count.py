@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import pick, table
+from conjunx.llm.common import pick, small, table
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = "</w>"
@@ -142,7 +142,7 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], *, doc_id: str = "doc
 
     def run(batches):
         automaton, known = _automaton(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             texts, n_words, n_tokens, part, size = batch.column("text").to_pylist(), [], [], [], 0
             for t in [*texts, None]:
                 part.append(t or "")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import id_bucket, pick, table
+from conjunx.llm.common import id_bucket, pick, small, table
 
 POSITIVES, UNLABELLED = 3000, 9000
 #: Features, the least positives that have one, and how many standard deviations above chance that must be.
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFr
 
     def run(batches):
         m, known = shared.value, {}
-        for batch in batches:
+        for batch in small(batches):
             out = np.zeros(batch.num_rows)
             for row, t in enumerate(batch.column(at).to_pylist() if m else []):
                 ids, values = _values(*_counts(t or "", m.place, known), len(m.place))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import pick, table, utf8
+from conjunx.llm.common import pick, small, table, utf8
 
 ORDER = 5
 BUCKETS = 1 << 20
@@ -77,7 +77,7 @@ def _counted(urls: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros((2, 2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in small(batches):
             label = batch.column("label").to_numpy(zero_copy_only=False)
             texts = utf8(batch.column("url"))
             for k in (0, 1):
@@ -119,7 +119,7 @@ def _scored(df: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or b"" for t in utf8(batch.column("url"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_score(texts, shared.value), pa.float64())], names=[*batch.schema.names, "score"])
 
