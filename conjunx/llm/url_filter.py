@@ -115,13 +115,17 @@ def _score(urls: list[bytes], counts: np.ndarray) -> np.ndarray:
 
 
 def _scored(df: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``df`` with score, from its column url."""
-    shared = df.sparkSession.sparkContext.broadcast(counts)
+    """``df`` with score, from its column url.  Only cells with counts are sent."""
+    some = np.flatnonzero(counts)
+    shared = df.sparkSession.sparkContext.broadcast((some.astype(np.int32), counts.ravel()[some]))
 
     def run(batches):
+        full = np.zeros(4 * BUCKETS, np.int64)
+        full[shared.value[0]] = shared.value[1]
+        full = full.reshape(2, 2, BUCKETS)
         for batch in small(batches):
             texts = [t or b"" for t in utf8(batch.column("url"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_score(texts, shared.value), pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_score(texts, full), pa.float64())], names=[*batch.schema.names, "score"])
 
     return df.mapInArrow(run, df.withColumn("score", F.lit(0.0)).schema)
 
