@@ -3,11 +3,16 @@
 A signature is an anchor with the next ``CHAIN`` content words; a text's fingerprint is its set of signatures.
 A text without any signature is fingerprinted by its words, one without words by itself, so that only empty
 texts have empty fingerprints.
+
+``classes`` joins documents by similarity: sets are partitioned by length so that a set can match only sets of its
+own or the next partition, meet where they share one of their rarest signatures, and are compared by a Jaccard
+similarity that lengths prune.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from zlib import crc32
 
 import numpy as np
@@ -15,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import pick, session_parts, small, table
+from conjunx.llm.common import cut, pick, session_parts, small, table
+from conjunx.llm.components import stars
 from conjunx.llm.decontaminate import words
 
 CHAIN = 2
@@ -81,6 +87,90 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, signatures array<long>")
 
 
+#: A group of more sets is split into parts, and every pair of parts is looked at by itself.
+PART_ROWS = 20_000
+
+
+def _partition(length, similarity: float):
+    """The partition of a set's length: each covers lengths up to 1 / ``similarity`` times its first."""
+    return F.floor(F.log(length.cast("double")) / math.log(1 / similarity)).cast("int")
+
+
+def _alike(sets: list[np.ndarray], nodes: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of nodes with alike sets, enough to connect all that are alike.  ``sets`` go by length."""
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    left, out = np.arange(len(sets)), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            n = lengths[left]
+            low, high = np.searchsorted(n, math.ceil(similarity * lengths[x] - 1e-9)), np.searchsorted(n, math.floor(lengths[x] / similarity + 1e-9), "right")
+            near = left[low:high]  # lengths of others rule them out
+            if not len(near):
+                continue
+            flat = np.concatenate([sets[k] for k in near.tolist()])
+            own = sets[x]
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            same = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths[near]) - lengths[near])
+            good = same >= similarity * (lengths[x] + lengths[near] - same) - 1e-9
+            found = near[good]
+            out += [(nodes[x], nodes[k]) for k in found.tolist()]
+            queue.extend(found.tolist())
+            left = np.concatenate((left[:low], near[~good], left[high:]))
+    return out
+
+
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+    """doc_id, class_id: the smallest doc_id reachable over pairs whose signature sets have a Jaccard similarity of
+    at least ``similarity``.
+
+    Equal sets are one node.  Null and empty texts have no signatures and, alike, are one class.  Rows with equal
+    ids each stay; a null id is a class's smallest only if all its ids are null.  A set meets others under its
+    n - ceil(similarity x n) + 1 rarest signatures, in its own length partition and the next one: two alike sets
+    always share one of these.  Groups give no more pairs than connect them, and large ones are split, so that
+    hot signatures and large groups of copies cost no task more than ``PART_ROWS`` sets squared.
+    """
+    sets = cut(fingerprints(docs, doc_id=doc_id, text=text).withColumn("set", F.xxhash64("signatures")))
+    nodes = sets.groupBy("set").agg(F.min("doc_id").alias("least"), F.any_value("signatures").alias("signatures"))
+    nodes = cut(nodes)
+    each = nodes.where(F.size("signatures") > 0).select("set", F.size("signatures").alias("length"), F.explode("signatures").alias("s"))
+    often = each.groupBy("s").count()
+    ranked = each.join(often.withColumnRenamed("s", "t"), F.col("s") == F.col("t")).groupBy("set", "length").agg(F.array_sort(F.collect_list(F.struct("count", "s"))).alias("by"))
+    prefix = ranked.select("set", "length", F.explode(F.slice("by", 1, (F.col("length") - F.ceil(F.lit(similarity) * F.col("length") - 1e-9) + 1).cast("int"))["s"]).alias("s"))
+    own = _partition(F.col("length"), similarity)
+    keys = prefix.select("set", "length", F.explode(F.array(F.xxhash64("s", own), F.xxhash64("s", own + 1))).alias("bucket"))
+    counts = keys.groupBy("bucket").count().where(F.col("count") > 1).withColumnRenamed("bucket", "b")
+    keys = keys.join(counts, F.col("bucket") == F.col("b")).withColumn("parts", F.ceil(F.col("count") / PART_ROWS).cast("long"))
+    part = F.pmod(F.xxhash64("set", F.lit("part")), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.xxhash64("bucket", F.least(k, part), F.greatest(k, part)))
+    rows = keys.select("set", F.explode(pairs).alias("bucket")).distinct().join(nodes.select(F.col("set").alias("k"), "signatures"), F.col("set") == F.col("k"))
+    rows = rows.select("bucket", F.size("signatures").alias("length"), "set", "signatures").repartition(session_parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "length", "set")
+
+    def run(batches):
+        at, held, names = None, [], []
+
+        def give():
+            found = _alike(held, names, similarity) if len(held) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], names=["a", "b"])
+
+        for batch in small(batches):
+            for bucket, name, sig in zip(*(batch.column(c).to_pylist() for c in ("bucket", "set", "signatures")), strict=True):
+                if bucket != at:
+                    yield from give()
+                    at, held, names = bucket, [], []
+                held.append(np.array(sig, np.int64))
+                names.append(name)
+        yield from give()
+
+    roots = stars(rows.mapInArrow(run, "a long, b long"))
+    linked = cut(nodes.join(roots, F.col("set") == F.col("a"), "left").select("set", "least", F.coalesce("b", "set").alias("root")))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("class_id"))
+    of = linked.join(smallest, "root").select(F.col("set").alias("k"), "class_id")
+    return sets.join(of, F.col("set") == F.col("k")).select("doc_id", "class_id")
+
+
 def _range_index(value, bounds: list) -> F.Column:
     """How many of the sorted ``bounds`` are at most ``value``, looked up in two steps of about their root."""
     if not bounds:

@@ -76,3 +76,45 @@ def test_edges(spark, frame, folder, rows):
 def test_empty_table(spark, frame, folder):
     assert S.op9_fingerprint(spark, folder(documents=frame([]))).count() == 0
     assert S.fingerprints(frame([(1, None)])).first().signatures == []
+
+
+def brute_classes(rows, similarity):
+    sets = [set(S.signatures(t or "").tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x == y or (x and y and len(x & y) / len(x | y) >= similarity):
+                parent[find(a)] = find(b)
+    groups = {}
+    for k, (key, _) in enumerate(rows):
+        groups.setdefault(find(k), []).append(key)
+    least = {g: min((x for x in ids if x is not None), default=None) for g, ids in groups.items()}
+    return sorted(((key, least[find(k)]) for k, (key, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("part_rows", [20000, 7])
+def test_classes_against_brute_force(spark, frame, monkeypatch, part_rows):
+    import random
+
+    monkeypatch.setattr(S, "PART_ROWS", part_rows)
+    draw = random.Random(4)
+    word = lambda: draw.choice(["the", "of", "and"]) if draw.random() < 0.3 else "".join(draw.choices("abcde", k=4))
+    texts = []
+    for _ in range(12):
+        text = [word() for _ in range(draw.randint(5, 150))]
+        for _ in range(draw.randint(1, 9)):
+            text = list(text)
+            for _ in range(draw.randint(0, 4)):
+                text[draw.randrange(len(text))] = word()
+            texts.append(" ".join(text))
+    rows = list(enumerate(texts)) + [(900, None), (901, ""), (None, texts[0]), (3, texts[3]), (950, "the " * 50000)]
+    for similarity in (0.8, 0.5):
+        got = S.classes(frame(rows, "doc_id long, text string", clash=True), similarity=similarity)
+        assert sorted(map(tuple, got.collect()), key=str) == brute_classes(rows, similarity)
+    assert S.classes(frame([])).count() == 0
