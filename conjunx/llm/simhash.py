@@ -3,7 +3,7 @@
 ``near_duplicates`` links documents whose fingerprints of word shingles are within a radius.  ``drop_copies`` is
 the stage for corpora: its fingerprints are of single words weighted by 1 + log(count), several with different
 seeds, which stay within the radius for texts that share most of their five-word shingles; candidates are then
-held against the similarity asked for by min-wise sketches of those shingles.
+held against the similarity asked for by min-wise sketches of those shingles, and by their sets where that is close.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from conjunx.llm.components import stars
 SEED = 42
 #: Bins of a sketch, a byte each; 0 is an empty bin.
 BINS = 256
+#: How far an estimate may be off, more than three standard errors.
+UNSURE = 0.08
 #: Ids of copies are broadcast up to this number of rows, some 80 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -136,20 +138,33 @@ def _features(docs: DataFrame, seeds: int, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"node {kind}, whole binary, fps array<long>, sketch binary")
 
 
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, x, y) of which the sketches x and y agree in at least ``least`` of the bins in use."""
+def _estimated(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, x, y) with alike: the share of the bins in use in which the sketches x and y agree."""
 
     def run(batches):
         for batch in small(batches):
-            if not batch.num_rows:
-                continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
             used = ((x > 0) | (y > 0)).sum(axis=1)
             same = ((x == y) & (x > 0)).sum(axis=1)
-            keep = pa.array(same >= least * np.maximum(used, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same / np.maximum(used, 1))], names=["a", "b", "alike"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, alike double")
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``."""
+    ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+    def run(batches):
+        for batch in small(batches):
+            sets = [np.unique(hashes(shingles(t or b"", size))).view(np.int64) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    sets = cut(docs.join(ids, F.col("node") == F.col("id"), "left_semi").mapInArrow(run, "node long, set array<long>"))
+    both = pairs.join(sets.toDF("n", "x"), F.col("a") == F.col("n")).drop("n").join(sets.toDF("n", "y"), F.col("b") == F.col("n")).drop("n")
+    same = F.size(F.array_intersect("x", "y"))
+    return both.where(same >= F.lit(least) * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
 def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, seeds: int = 6, radius: int = 3) -> DataFrame:
@@ -157,16 +172,19 @@ def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
     ``similarity``, linked to groups, each id with its group's smallest; ids that are keepers are left out.
 
     Equal word sequences (ASCII case aside) are one node.  A text without words has no copies, nor has a row
-    without id.  The sketch's estimate of the similarity has a standard error of at most 0.025.
+    without id; rows with equal ids stay or go together.  A pair's similarity is estimated from sketches, with a
+    standard error of at most 0.025, and computed from the texts if the estimate is within ``UNSURE`` of the limit.
     """
-    rows = pick(docs, node=doc_id, text=text).where("node is not null").withColumn("node", F.col("node").cast("long"))
-    rows = cut(_features(rows, seeds, size).where(F.length(F.replace(F.hex("sketch"), F.lit("0"), F.lit(""))) > 0))
+    texts = pick(docs, node=doc_id, text=text).where("node is not null").withColumn("node", F.col("node").cast("long"))
+    rows = cut(_features(texts, seeds, size).where(F.length(F.replace(F.hex("sketch"), F.lit("0"), F.lit(""))) > 0))
     first = rows.groupBy("whole").agg(F.min_by(F.struct("node", "fps", "sketch"), "node").alias("s"))
     nodes = cut(first.select("whole", "s.node", "s.fps", "s.sketch"))
     found = covering.links(nodes.select("node", F.col("fps").alias("fp")), radius)
     of = nodes.select("node", "sketch")
     pairs = found.join(of.toDF("n", "x"), F.col("a") == F.col("n")).drop("n").join(of.toDF("n", "y"), F.col("b") == F.col("n")).drop("n")
-    roots = stars(_alike(pairs.select("a", "b", "x", "y"), similarity))
+    seen = cut(_estimated(pairs.select("a", "b", "x", "y")).where(F.col("alike") >= similarity - UNSURE))
+    sure = F.col("alike") >= similarity + UNSURE
+    roots = stars(seen.where(sure).select("a", "b").unionAll(_checked(seen.where(~sure).select("a", "b"), texts, size, similarity)))
     keepers = nodes.join(roots, F.col("node") == F.col("a"), "left").select(F.col("whole").alias("w"), F.coalesce("b", "node").alias("keeper"))
     return rows.join(keepers, F.col("whole") == F.col("w")).where("node <> keeper").select("node", "keeper").distinct()
 
