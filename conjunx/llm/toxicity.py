@@ -25,9 +25,10 @@ from conjunx.llm.common import id_bucket, pick, small, table
 
 POSITIVES, UNLABELLED = 3000, 9000
 #: Features, the least positives that have one, and how many standard deviations above chance that must be.
-FEATURES, LEAST, ABOVE = 3000, 3, 6.0
+FEATURES, LEAST, ABOVE = 1000, 3, 6.0
 BEGINNINGS = (4, 5, 6, 7)
-STEPS, BATCH, RATE, DECAY = 1500, 512, 0.03, 1e-3
+#: Steps of training, texts of each kind in a step, step size, and the weight decay times the number of positives.
+STEPS, BATCH, RATE, DECAY = 1500, 512, 0.03, 0.5
 #: A text's words that a worker remembers the features of.
 REMEMBERED = 500_000
 
@@ -98,22 +99,22 @@ def fit(positive: list[str], other: list[str], prior: float, seed: int = 3) -> M
     place = _select(positive, other)
     p, u = _dense(positive, place), _dense(other, place)
     draw = np.random.default_rng(seed)
-    w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
+    w, b, decay = np.zeros(p.shape[1], np.float32), float(np.log(prior / (1 - prior))), DECAY / len(positive)
     mean, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
         x, y = p[draw.integers(len(p), size=BATCH)], u[draw.integers(len(u), size=BATCH)]
         zp, zu = x @ w + b, y @ w + b
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp = -prior * (1 - sigmoid(zp)) / BATCH  # of the positive part
-        np_, nu = -prior * sigmoid(zp) / BATCH, sigmoid(zu) / BATCH  # of the negative part
+        gp = (-prior * (1 - sigmoid(zp)) / BATCH).astype(np.float32)  # of the positive part
+        np_, nu = (-prior * sigmoid(zp) / BATCH).astype(np.float32), (sigmoid(zu) / BATCH).astype(np.float32)  # of the negative part
         if negative < 0:  # the model fits the sample too well: step back
             g = np.concatenate((-(x.T @ np_ + y.T @ nu), [-(np_.sum() + nu.sum())]))
         else:
-            g = np.concatenate((x.T @ (gp + np_) + y.T @ nu + DECAY * w, [(gp + np_).sum() + nu.sum()]))
+            g = np.concatenate((x.T @ (gp + np_) + y.T @ nu + decay * w, [(gp + np_).sum() + nu.sum()]))
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = w - move[:-1].astype(np.float32), b - float(move[-1])
     return Model(place, w, float(b))
 
 
@@ -149,7 +150,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFr
             for row, t in enumerate(batch.column(at).to_pylist() if m else []):
                 ids, values = _values(*_counts(t or "", m.place, known), len(m.place))
                 z = m.bias + sum(m.weights[k] * v for k, v in zip(ids, values, strict=True))
-                out[row] = 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
+                out[row] = 1 / (1 + np.exp(-min(30.0, max(-30.0, float(z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "tox_score"])
 
     return plain.mapInArrow(run, plain.withColumn("tox_score", F.lit(0.0)).schema).toDF(*own, "tox_score")
