@@ -165,3 +165,34 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = scan(docs, table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["stop"] - h["start"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SQL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+OP5_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, {_SQL_WORDS} AS w FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {_SQL_WORDS} AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, k, k + least(len(w), 10) - 1), ' ') AS s
+  FROM items, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS t(k) WHERE len(w) > 0
+), sizes AS (
+  SELECT DISTINCT n FROM item_windows
+), doc_windows AS (
+  SELECT row_id, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS s
+  FROM docs, sizes, unnest(generate_series(1, len(w) - n + 1)) AS t(k)
+), found AS (
+  SELECT row_id, k, n, item_id FROM doc_windows JOIN item_windows USING (n, s)
+), hits AS (
+  SELECT row_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT row_id, k, n FROM found) AS f, unnest(generate_series(k, k + n - 1)) AS t(p) GROUP BY row_id
+), named AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT row_id, item_id FROM found WHERE item_id IS NOT NULL) AS f GROUP BY row_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row_id) LEFT JOIN named USING (row_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conjunx.llm.decontaminate import op5_decontaminate
+from conjunx.llm.decontaminate import OP5_SQL, op5_decontaminate
 from conjunx.llm.html_text import op8_text
 from conjunx.llm.language_id import op1_language
 from conjunx.llm.mixing import OP7_SQL, op7_mix
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_urls": op10_urls,
 }
 
-SQL = {"op7_mix": OP7_SQL}
+SQL = {"op5_decontaminate": OP5_SQL, "op7_mix": OP7_SQL}

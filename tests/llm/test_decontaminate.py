@@ -55,6 +55,18 @@ def test_query_against_brute_force(spark, data):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit))
 
 
+def test_sql_is_the_same(spark, data, frame, folder):
+    import duckdb
+
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(14))), (2, None), (3, ""), (4, "Solo É"), (None, "null id")], "item_id long, text string")
+    odd = folder(documents=frame([(1, None), (2, "a solo é"), (2, "a solo é"), (None, "W0 " * 3 + " ".join(f"w{k}" for k in range(12)) + " null id")], clash=True), benchmark=bench)
+    for path in (data, odd):
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet{'' if path == data else '/*.parquet'}')")
+        assert sorted(map(tuple, D.op5_decontaminate(spark, path).collect()), key=str) == sorted(con.sql(D.OP5_SQL).fetchall(), key=str)
+
+
 def test_edges_and_blocks(spark, frame):
     item = " ".join(f"w{k}" for k in range(14))
     bench = spark.createDataFrame([(1, item), (10, item), (2, None), (3, ""), (None, "Solo Word"), (4, "é ß x1")], "item_id long, text string")
