@@ -1,7 +1,7 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
-A signature is an anchor with the next ``CHAIN`` content words; a text's fingerprint is its set of signatures.
-A text without any signature is fingerprinted by its words, one without words by itself, so that only empty
+A signature is an anchor with the next ``CHAIN`` content words; a text's fingerprint is its set of signatures.  The
+start of a text is an anchor too, so that short texts have one.  A text without any signature is fingerprinted by its words, one without words by itself, so that only empty
 texts have empty fingerprints.
 
 ``classes`` joins documents by similarity: sets are partitioned by length so that a set can match only sets of its
@@ -34,6 +34,7 @@ le la les de des et un une en que est du dans pour au ce il qui ne pas sur avec
 el los las y del se lo con por su al más como para una
 """.split()
 
+_START = np.uint64(1 << 32)
 _ANCHORS = np.unique(np.array([crc32(w.encode()) for w in ANCHORS], np.uint32))
 
 
@@ -47,11 +48,11 @@ def signatures(text: str) -> np.ndarray:
     anchor = _ANCHORS[near] == h
     content = np.flatnonzero(~anchor)
     at = np.flatnonzero(anchor)
-    k = np.searchsorted(content, at)
-    k, at = k[k + CHAIN <= len(content)], at[k + CHAIN <= len(content)]
-    if not len(at):
+    k = np.concatenate(([0], np.searchsorted(content, at)))
+    whole = k + CHAIN <= len(content)
+    k, sig = k[whole], np.concatenate(([_START], h[at].astype(np.uint64)))[whole]
+    if not len(k):
         return np.unique(h)
-    sig = h[at].astype(np.uint64)
     for j in range(CHAIN):
         sig = (sig * np.uint64(0x9E3779B97F4A7C15)) ^ h[content[k + j]]
         sig ^= sig >> np.uint64(31)
