@@ -18,9 +18,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from conjunx.engine import Engine
+from conjunx.operators import compiler
 from conjunx.plans import explain
 from conjunx.plans.dialect import statements
-from conjunx.operators import compiler
 from conjunx.sources import files, paged
 
 
@@ -62,7 +62,7 @@ def open_tables(spark: SparkSession, source: Path, temporary: Path) -> Engine:
 
 
 def run_script(engine: Engine, script: str, output: Path) -> list[Outcome]:
-    """Runs each statement; the text result is read from the first one's files where there are such."""
+    """Runs each statement once; seconds are of writing its results."""
     output.mkdir(parents=True, exist_ok=True)
     done = []
     for number, statement in enumerate(statements(script), 1):
@@ -77,6 +77,7 @@ def run_script(engine: Engine, script: str, output: Path) -> list[Outcome]:
                 paged.register(engine.spark)
                 shutil.rmtree(name, ignore_errors=True)
                 df.write.format("pages").mode("append").save(str(name))
+                df = engine.spark.read.format("pages").schema(df.schema).load(str(name))  # the text is of what was written
             files.write_text(df, f"{name}_humanreadable")
             done.append(Outcome(number, time.perf_counter() - began, None))
         except Exception as e:  # one statement's failure is its own
