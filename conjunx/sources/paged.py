@@ -19,6 +19,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from conjunx.shipping import ship
+
 PAGE = 4096
 HEAD = 8
 
@@ -152,5 +154,6 @@ class PagedSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session."""
+    """Makes the format known to the session and its executors."""
+    ship(spark)
     spark.dataSource.register(PagedSource)
