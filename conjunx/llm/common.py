@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conjunx.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +40,12 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow``, with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def small(batches, rows: int = 2000):
     """The same rows in batches of at most ``rows``, so that a worker turns few texts into Python objects at once."""
     for batch in batches:

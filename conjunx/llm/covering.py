@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import session_parts
+from conjunx.llm.common import mapped, session_parts
 
 #: A bucket of more rows is split into parts; every pair of parts becomes a bucket of its own.
 PART_ROWS = 100_000
@@ -138,4 +138,4 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
             held = [h[whole:] for h in held]
         yield from give(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return mapped(rows, run, "a long, b long").distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import cut, pick, small, table, utf8
+from conjunx.llm.common import cut, mapped, pick, small, table, utf8
 from conjunx.llm.suffix_automaton import SuffixAutomaton
 
 #: Most characters of items in one automaton (some 100 MB in a worker).
@@ -87,7 +87,7 @@ def _scan(df: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
             done = {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(spans, kinds["hits"]), "items": pa.array(items, kinds["items"])}
             yield pa.RecordBatch.from_arrays([done.get(c, batch.column(c)) for c in batch.schema.names], schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def _scan_and_cut(df: DataFrame, automaton: SuffixAutomaton, most_covered: float) -> DataFrame:
@@ -104,7 +104,7 @@ def _scan_and_cut(df: DataFrame, automaton: SuffixAutomaton, most_covered: float
                 batch = batch.filter(pa.array([sum(b - a for a, b in s) <= n * most_covered for n, s in zip(counts, spans, strict=True)]))
             yield batch
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def _prepared(docs: DataFrame, text: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import pick, small, table
+from conjunx.llm.common import mapped, pick, small, table
 from conjunx.llm.url_filter import host_of
 
 LEAST, PAGES = 8, 3
@@ -248,7 +248,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", bod
         return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(["\n".join(x) for x in found], pa.string())})
 
     rest = rest.select("page_id", "url", "html", "host", "shard").groupBy("host", "shard").applyInArrow(clean, schema)
-    return rows.where(marked).mapInArrow(parse, schema).unionAll(rest)
+    return mapped(rows.where(marked), parse, schema).unionAll(rest)
 
 
 def op8_text(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from conjunx.llm.common import id_bucket, pick, small, table
+from conjunx.llm.common import id_bucket, mapped, pick, small, table
 
 #: Labelled documents a language that training reads, about.
 SAMPLE = 2000
@@ -154,7 +154,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], names=["cell", "n"])
 
-    found = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = mapped(rows, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(len(langs) * width, np.int64)
     total[found["cell"].to_numpy()] = found["n"].to_numpy()
     total = total.reshape(len(langs), width).T
@@ -246,7 +246,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> Dat
     own = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(own))))
     schema = StructType([*plain.schema, *docs.sparkSession.createDataFrame([], extra).schema])
-    return plain.mapInArrow(run, schema).toDF(*own, "lang_pred", "lang_score", "lang_spans")
+    return mapped(plain, run, schema).toDF(*own, "lang_pred", "lang_score", "lang_spans")
 
 
 def op1_language(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conjunx.llm import covering
-from conjunx.llm.common import cut, pick, small, table, utf8
+from conjunx.llm.common import cut, mapped, pick, small, table, utf8
 from conjunx.llm.components import stars
 
 SEED = 42
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     plain = pick(docs, doc_id=doc_id, text=text)
-    return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, fp long")
+    return mapped(plain, run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
@@ -135,7 +135,7 @@ def _features(docs: DataFrame, seeds: int, size: int) -> DataFrame:
                 sketches.append(sketch(hashes(shingles(t or b"", size))))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(wholes, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["node", "whole", "fps", "sketch"])
 
-    return docs.mapInArrow(run, f"node {kind}, whole binary, fps array<long>, sketch binary")
+    return mapped(docs, run, f"node {kind}, whole binary, fps array<long>, sketch binary")
 
 
 def _estimated(pairs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _estimated(pairs: DataFrame) -> DataFrame:
             same = ((x == y) & (x > 0)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same / np.maximum(used, 1))], names=["a", "b", "alike"])
 
-    return pairs.mapInArrow(run, "a long, b long, alike double")
+    return mapped(pairs, run, "a long, b long, alike double")
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
@@ -161,7 +161,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> Data
             sets = [np.unique(hashes(shingles(t or b"", size))).view(np.int64) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    sets = cut(docs.join(ids, F.col("node") == F.col("id"), "left_semi").mapInArrow(run, "node long, set array<long>"))
+    sets = cut(mapped(docs.join(ids, F.col("node") == F.col("id"), "left_semi"), run, "node long, set array<long>"))
     both = pairs.join(sets.toDF("n", "x"), F.col("a") == F.col("n")).drop("n").join(sets.toDF("n", "y"), F.col("b") == F.col("n")).drop("n")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(same >= F.lit(least) * (F.size("x") + F.size("y") - same)).select("a", "b")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import cut, pick, session_parts, small, table
+from conjunx.llm.common import cut, mapped, pick, session_parts, small, table
 from conjunx.llm.components import stars
 from conjunx.llm.decontaminate import words
 
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
             sets = [signatures(t or "").astype(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "signatures"])
 
-    return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, signatures array<long>")
+    return mapped(plain, run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, signatures array<long>")
 
 
 #: A group of more sets is split into parts, and every pair of parts is looked at by itself.
@@ -165,7 +165,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
                 names.append(name)
         yield from give()
 
-    roots = stars(rows.mapInArrow(run, "a long, b long"))
+    roots = stars(mapped(rows, run, "a long, b long"))
     linked = cut(nodes.join(roots, F.col("set") == F.col("a"), "left").select("set", "least", F.coalesce("b", "set").alias("root")))
     smallest = linked.groupBy("root").agg(F.min("least").alias("class_id"))
     of = linked.join(smallest, "root").select(F.col("set").alias("k"), "class_id")
@@ -236,4 +236,4 @@ def op9_fingerprint(spark, sf_dir: str) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k or batch.schema.field("doc_id").type) for x, k in zip(out, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return mapped(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -9,7 +9,7 @@ from conjunx.llm import decontaminate, language_id, mixing, pii, simhash
 from conjunx.llm.common import table
 
 #: A document of which no language has this share of the letters is rejected.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one identifiable language: no letters (also a null text), or no language with half of the
+    """Documents in one identifiable language: no letters (also a null text), or no language with two fifths of the
     letters, is rejected.  The model learns from the labelled documents of ``docs``; where none is labelled, only
     texts without letters are rejected."""
     if (model := language_id.train(docs)) is None:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import pick, small, table
+from conjunx.llm.common import mapped, pick, small, table
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = "</w>"
@@ -155,7 +155,7 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], *, doc_id: str = "doc
             n = len(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words[:n], pa.int64()), pa.array(n_tokens[:n], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
+    return mapped(plain, run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
 
 
 def op2_tokens(spark, sf_dir: str) -> DataFrame:

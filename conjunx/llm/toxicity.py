@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import id_bucket, pick, small, table
+from conjunx.llm.common import id_bucket, mapped, pick, small, table
 
 POSITIVES, UNLABELLED = 3000, 9000
 #: Features, the least positives that have one, and how many standard deviations above chance that must be.
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFr
                 out[row] = 1 / (1 + np.exp(-min(30.0, max(-30.0, float(z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "tox_score"])
 
-    return plain.mapInArrow(run, plain.withColumn("tox_score", F.lit(0.0)).schema).toDF(*own, "tox_score")
+    return mapped(plain, run, plain.withColumn("tox_score", F.lit(0.0)).schema).toDF(*own, "tox_score")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import pick, small, table, utf8
+from conjunx.llm.common import mapped, pick, small, table, utf8
 
 ORDER = 5
 BUCKETS = 1 << 20
@@ -92,7 +92,7 @@ def _counted(urls: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(flat[part])], names=["cell", "n"])
 
     counts = np.zeros(4 * BUCKETS, np.int64)
-    found = urls.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = mapped(urls, run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
     return counts.reshape(2, 2, BUCKETS)
 
@@ -127,7 +127,7 @@ def _scored(df: DataFrame, counts: np.ndarray) -> DataFrame:
             texts = [t or b"" for t in utf8(batch.column("url"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_score(texts, full), pa.float64())], names=[*batch.schema.names, "score"])
 
-    return df.mapInArrow(run, df.withColumn("score", F.lit(0.0)).schema)
+    return mapped(df, run, df.withColumn("score", F.lit(0.0)).schema)
 
 
 def _threshold(scored: DataFrame) -> float:
