@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,36 +70,40 @@ class Catalog:
     def clustered(self, name: str) -> dict[str, str]:
         return dict(self._entry(name).clustered)
 
-    def _measured(self, e: _Entry, name: str) -> DataFrame:
-        """The table for counts and ranges: over Parquet in a reader that answers them from file footers."""
-        if e.format != "parquet":
-            return self.read(name)
-        key, push = "spark.sql.sources.useV1SourceList", "spark.sql.parquet.aggregatePushdown"
-        old = self.spark.conf.get(key), self.spark.conf.get(push)
-        try:
-            self.spark.conf.set(key, ",".join(x for x in old[0].split(",") if x != "parquet"))
-            self.spark.conf.set(push, "true")
-            return self.spark.read.options(**e.options).parquet(e.path)
-        finally:
-            self.spark.conf.set(key, old[0])
-            self.spark.conf.set(push, old[1])
-
     def stats(self, name: str, columns: tuple[str, ...] = ()) -> Stats:
-        """Rows, and the least and greatest value of the ``columns`` that have an order; one pass for what is new."""
-        e = self._entry(name)
-        kinds = {f.name: f.dataType for f in self.schema(name)}
-        new = [c for c in dict.fromkeys(columns) if c not in e.ranges and isinstance(kinds[c], _RANGED)]
-        if new or e.rows is None:
-            push = "spark.sql.parquet.aggregatePushdown"
-            old = self.spark.conf.get(push)
+        """Rows, and the least and greatest value of the ``columns`` that have an order."""
+        return self.stats_of({name: columns})[name]
+
+    def stats_of(self, wanted: dict[str, tuple[str, ...]]) -> dict[str, Stats]:
+        """Statistics of several tables.  What is not known yet is computed, tables side by side; over Parquet in a
+        reader that answers from file footers, so that no rows are read."""
+        new: dict[str, list[str]] = {}
+        for name, columns in wanted.items():
+            e, kinds = self._entry(name), {f.name: f.dataType for f in self.schema(name)}
+            missing = [c for c in dict.fromkeys(columns) if c not in e.ranges and isinstance(kinds[c], _RANGED)]
+            if missing or e.rows is None:
+                new[name] = missing
+        if new:
+            keys = {"spark.sql.sources.useV1SourceList": None, "spark.sql.parquet.aggregatePushdown": "true"}
+            old = {k: self.spark.conf.get(k) for k in keys}
+            keys["spark.sql.sources.useV1SourceList"] = ",".join(x for x in old["spark.sql.sources.useV1SourceList"].split(",") if x != "parquet")
             try:
-                self.spark.conf.set(push, "true")
-                row = self._measured(e, name).agg(F.count("*"), *(f(F.col(f"`{c}`")) for c in new for f in (F.min, F.max))).first()
+                for k, v in keys.items():
+                    self.spark.conf.set(k, v)
+                frames = {n: self._measured(self._entry(n), n).agg(F.count("*"), *(f(F.col(f"`{c}`")) for c in cols for f in (F.min, F.max))) for n, cols in new.items()}
+                with ThreadPoolExecutor(min(8, len(frames))) as pool:
+                    rows = dict(zip(frames, pool.map(lambda df: df.first(), frames.values()), strict=True))
             finally:
-                self.spark.conf.set(push, old)
-            e.rows = row[0]
-            e.ranges |= {c: (row[1 + 2 * k], row[2 + 2 * k]) for k, c in enumerate(new)}
-        return Stats(e.rows, {c: e.ranges[c] for c in columns if c in e.ranges})
+                for k, v in old.items():
+                    self.spark.conf.set(k, v)
+            for name, cols in new.items():
+                e, row = self._entry(name), rows[name]
+                e.rows = row[0]
+                e.ranges |= {c: (row[1 + 2 * k], row[2 + 2 * k]) for k, c in enumerate(cols)}
+        return {n: Stats(self._entry(n).rows, {c: self._entry(n).ranges[c] for c in columns if c in self._entry(n).ranges}) for n, columns in wanted.items()}
+
+    def _measured(self, e: _Entry, name: str) -> DataFrame:
+        return self.spark.read.options(**e.options).parquet(e.path) if e.format == "parquet" else self.read(name)
 
     def set_stats(self, name: str, rows: int, ranges: dict[str, tuple]) -> None:
         """Statistics known from elsewhere."""

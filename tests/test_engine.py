@@ -52,6 +52,13 @@ def test_distinct_is_sorted(e, db):
     assert rows(e.sql(f"{sql} ORDER BY l_linenumber")) == db.sql(f"{sql} ORDER BY l_linenumber, l_suppkey").fetchall()
 
 
+def test_join_hint(e):
+    q = "SELECT o.o_orderkey, c.c_name FROM orders o, customer c WHERE o.o_custkey = c.c_custkey AND o.o_orderkey < c.c_nationkey"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(e.run(q, hint="merge")) and "ShuffledHashJoin" in plan(e.run(q, hint="shuffle_hash"))
+    same(rows(e.run(q, hint="merge")), rows(e.run(q)))
+
+
 def test_star_keeps_from_order(e):
     df = e.sql("SELECT * FROM region r, nation n, customer c WHERE n.n_regionkey = r.r_regionkey AND c.c_nationkey = n.n_nationkey")
     assert df.columns == ["r_regionkey", "r_name", "n_nationkey", "n_name", "n_regionkey", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
