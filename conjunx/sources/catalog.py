@@ -103,7 +103,7 @@ class Catalog:
         return {n: Stats(self._entry(n).rows, {c: self._entry(n).ranges[c] for c in columns if c in self._entry(n).ranges}) for n, columns in wanted.items()}
 
     def _measured(self, e: _Entry, name: str) -> DataFrame:
-        return self.spark.read.options(**e.options).parquet(e.path) if e.format == "parquet" else self.read(name)
+        return self.spark.read.schema(self.schema(name)).options(**e.options).parquet(e.path) if e.format == "parquet" else self.read(name)
 
     def set_stats(self, name: str, rows: int, ranges: dict[str, tuple]) -> None:
         """Statistics known from elsewhere."""
