@@ -172,28 +172,36 @@ def word_scores(w: Words, model: Model) -> np.ndarray:
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The best language of each word; the words of text k are scores[starts[k]:][:sizes[k]]."""
+    """The best language of each word; the words of text k are scores[starts[k]:][:sizes[k]], texts in a row.
+
+    All texts go a word at a time, longest first; scores are laid out by time, so that a step is a slice."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
     order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
-    back = np.zeros(scores.shape, np.uint8 if scores.shape[1] < 256 else np.int32)
-    label = np.zeros(len(scores), np.int64)
-    own = np.arange(scores.shape[1])
-    active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right") if len(sizes) else []
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    active = np.searchsorted(-sizes[order], -np.arange(1, sizes.max() + 1), side="right")
+    begin = np.concatenate(([0], np.cumsum(active)))
+    place = begin[np.arange(len(scores)) - np.repeat(starts, sizes)] + np.repeat(rank, sizes)
+    by_time = np.empty_like(scores)
+    by_time[place] = scores
+    back = np.empty(scores.shape, np.uint8 if scores.shape[1] < 256 else np.int32)
+    own = np.arange(scores.shape[1], dtype=back.dtype)
     value = np.zeros((len(sizes), scores.shape[1]))
-    for t, k in enumerate(active):
-        at, v = starts[:k] + t, value[:k]
-        best = v.argmax(axis=1)
-        jump = v[np.arange(k), best][:, None] - SWITCH
-        stay = v >= jump
-        back[at] = np.where(stay, own, best[:, None])
-        value[:k] = np.where(stay, v, jump) + scores[at]
+    steps = list(zip(active.tolist(), begin[:-1].tolist(), strict=True))
+    for k, at in steps:
+        v = value[:k]
+        jump = v.max(axis=1, keepdims=True) - SWITCH
+        back[at : at + k] = np.where(v >= jump, own, v.argmax(axis=1)[:, None])
+        np.maximum(v, jump, out=v)
+        v += by_time[at : at + k]
     now = value.argmax(axis=1)
-    for t in range(len(active) - 1, -1, -1):
-        k = active[t]
-        at = starts[:k] + t
-        label[at] = now[:k]
-        now[:k] = back[at, now[:k]]
-    return label
+    label = np.empty(len(scores), np.int64)
+    rows = np.arange(len(sizes))
+    for k, at in reversed(steps):
+        label[at : at + k] = now[:k]
+        now[:k] = back[at : at + k][rows[:k], now[:k]]
+    return label[place]
 
 
 def _label(texts: list[str], model: Model) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
