@@ -2,8 +2,8 @@
 
 ``near_duplicates`` links documents whose fingerprints of word shingles are within a radius.  ``drop_copies`` is
 the stage for corpora: its fingerprints are of single words weighted by 1 + log(count), several with different
-seeds, which stay within the radius for texts that share most of their five-word shingles; candidates are then
-held against the similarity asked for by min-wise sketches of those shingles, and by their sets where that is close.
+seeds, which stay within the radius for texts that share most of their five-word shingles; documents so connected
+are then compared by the sets of those shingles, and only pairs alike make groups.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conjunx.llm import covering
-from conjunx.llm.common import cut, mapped, pick, small, table, utf8
+from conjunx.llm.common import cut, mapped, pick, session_parts, small, table, utf8
 from conjunx.llm.components import stars
 
 SEED = 42
 #: Bins of a sketch, a byte each; 0 is an empty bin.
 BINS = 256
-#: How far an estimate may be off, more than three standard errors.
-UNSURE = 0.08
+#: A component of more shingles is split into parts, and every pair of parts is looked at by itself.
+PART_SHINGLES = 2_000_000
 #: Ids of copies are broadcast up to this number of rows, some 80 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -118,13 +118,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return docs.join(of, F.col("fp") == F.col("key")).select("doc_id", "fp", "component_id")
 
 
-def _features(docs: DataFrame, seeds: int, size: int) -> DataFrame:
-    """node, whole (a digest of the lower-cased word sequence), fps and sketch of each document."""
+def _features(docs: DataFrame, seeds: int) -> DataFrame:
+    """node, whole (a digest of the lower-cased word sequence) and fps of each document."""
     kind = docs.schema["node"].dataType.simpleString()
 
     def run(batches):
         for batch in small(batches):
-            wholes, fps, sketches = [], [], []
+            wholes, fps = [], []
             for t in utf8(batch.column("text")):
                 words = (t or b"").lower().split()
                 wholes.append(xxhash.xxh3_128_digest(b" ".join(words)))
@@ -132,39 +132,99 @@ def _features(docs: DataFrame, seeds: int, size: int) -> DataFrame:
                 for w in words:
                     names[w] = names.get(w, 0) + 1
                 fps.append(weighted(hashes(list(names)), 1 + np.log(np.fromiter(names.values(), np.float32, len(names))), seeds))
-                sketches.append(sketch(hashes(shingles(t or b"", size))))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(wholes, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["node", "whole", "fps", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(wholes, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["node", "whole", "fps"])
+
+    return mapped(docs, run, f"node {kind}, whole binary, fps array<long>")
+
+
+def _forest(sets: list[np.ndarray], nodes: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of nodes whose sets have a Jaccard similarity of at least ``similarity``, enough to connect all that
+    such pairs connect: a node is done with only when a pair of it is verified.  Two sets alike share one of their
+    n - ceil(similarity x n) + 1 rarest elements, so others need not be compared."""
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts, owner = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(sets)), lengths)
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ids = ids[np.lexsort((ids, often[ids], owner))]
+    rare = np.arange(len(ids)) - starts[owner] <= (lengths - np.ceil(similarity * lengths - 1e-9))[owner]
+    order = np.argsort(ids[rare], kind="stable")
+    element, holder = ids[rare][order], owner[rare][order]
+    own, left, out = np.zeros(len(often), bool), np.ones(len(sets), bool), []
+    n_left = len(sets)
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        queue, left[first] = [first], False
+        n_left -= 1
+        while queue and n_left:
+            x = queue.pop()
+            mine = ids[starts[x] : starts[x] + lengths[x]]
+            key = mine[rare[starts[x] : starts[x] + lengths[x]]]
+            low, high = np.searchsorted(element, key), np.searchsorted(element, key, "right")
+            if (high - low).sum() < len(sets):
+                near = np.unique(np.concatenate([holder[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True)]))
+                near = near[left[near]]
+            else:
+                near = np.flatnonzero(left)
+            near = near[np.minimum(lengths[near], lengths[x]) >= similarity * np.maximum(lengths[near], lengths[x]) - 1e-9]
+            if not len(near):
+                continue
+            ends = np.cumsum(lengths[near])
+            own[mine] = True
+            hit = own[ids[np.repeat(starts[near] - ends + lengths[near], lengths[near]) + np.arange(ends[-1])]]
+            own[mine] = False
+            same = np.add.reduceat(hit.astype(np.int64), ends - lengths[near])
+            found = near[same >= similarity * (lengths[x] + lengths[near] - same) - 1e-9]
+            out += [(nodes[x], nodes[k]) for k in found.tolist()]
+            queue.extend(found.tolist())
+            left[found] = False
+            n_left -= len(found)
+    return out
 
-    return mapped(docs, run, f"node {kind}, whole binary, fps array<long>, sketch binary")
 
+def _verified(links: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b), a > b: among the nodes that ``links`` connect, pairs whose sets of shingles have a Jaccard similarity
+    of at least ``similarity``, enough to connect all that such pairs connect.
 
-def _estimated(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, x, y) with alike: the share of the bins in use in which the sketches x and y agree."""
+    Every pair of a component counts, not the links alone: these are a forest for the fingerprints, and a pair
+    alike may be joined in it over a third node that is like neither.  A component of more than
+    ``PART_SHINGLES`` shingles is split into parts, and each pair of parts is looked at by itself."""
+    roots = stars(links)
+    members = cut(roots.toDF("id", "component").unionAll(roots.select("b", "b")).distinct())
+    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
-    def run(batches):
+    def shingled(batches):
         for batch in small(batches):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
-            used = ((x > 0) | (y > 0)).sum(axis=1)
-            same = ((x == y) & (x > 0)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same / np.maximum(used, 1))], names=["a", "b", "alike"])
-
-    return mapped(pairs, run, "a long, b long, alike double")
+            sets = [np.unique(hashes(shingles(t or b"", size))).view(np.int64) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["component", "node", "set"])
+
+    found = docs.join(members, F.col("node") == F.col("id")).select("component", "node", "text")
+    sets = cut(mapped(found, shingled, "component long, node long, set array<long>").where(F.size("set") > 0))
+    parts = sets.groupBy("component").agg(F.ceil(F.sum(F.size("set")) / PART_SHINGLES).cast("long").alias("parts")).withColumnRenamed("component", "c")
+    rows = sets.join(parts, F.col("component") == F.col("c"))
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j")))
+    rows = rows.select("component", "node", "set", F.inline(pairs).alias("i", "j"))
+    keys = ("component", "i", "j")
+    rows = rows.select(*keys, "node", "set").repartition(session_parts(docs.sparkSession), *keys).sortWithinPartitions(*keys, "node")
 
+    def run(batches):
+        at, held, names = None, [], []
 
-def _checked(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        def give():
+            found = [p for p in _forest(held, names, similarity) if p[0] != p[1]] if len(held) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], names=["a", "b"])
 
-    def run(batches):
-        for batch in small(batches):
-            sets = [np.unique(hashes(shingles(t or b"", size))).view(np.int64) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+        for batch in small(batches, 500):
+            for *group, name, own in zip(*(batch.column(c).to_pylist() for c in (*keys, "node")), batch.column("set"), strict=True):
+                if group != at:
+                    yield from give()
+                    at, held, names = group, [], []
+                held.append(own.values.to_numpy())
+                names.append(name)
+        yield from give()
 
-    sets = cut(mapped(docs.join(ids, F.col("node") == F.col("id"), "left_semi"), run, "node long, set array<long>"))
-    both = pairs.join(sets.toDF("n", "x"), F.col("a") == F.col("n")).drop("n").join(sets.toDF("n", "y"), F.col("b") == F.col("n")).drop("n")
-    same = F.size(F.array_intersect("x", "y"))
-    return both.where(same >= F.lit(least) * (F.size("x") + F.size("y") - same)).select("a", "b")
+    return mapped(rows, run, "a long, b long")
 
 
 def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, seeds: int = 6, radius: int = 3) -> DataFrame:
@@ -172,19 +232,14 @@ def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
     ``similarity``, linked to groups, each id with its group's smallest; ids that are keepers are left out.
 
     Equal word sequences (ASCII case aside) are one node.  A text without words has no copies, nor has a row
-    without id; rows with equal ids stay or go together.  A pair's similarity is estimated from sketches, with a
-    standard error of at most 0.025, and computed from the texts if the estimate is within ``UNSURE`` of the limit.
+    without id; rows with equal ids stay or go together.  Similarities are computed from the texts.
     """
     texts = pick(docs, node=doc_id, text=text).where("node is not null").withColumn("node", F.col("node").cast("long"))
-    rows = cut(_features(texts, seeds, size).where(F.length(F.replace(F.hex("sketch"), F.lit("0"), F.lit(""))) > 0))
-    first = rows.groupBy("whole").agg(F.min_by(F.struct("node", "fps", "sketch"), "node").alias("s"))
-    nodes = cut(first.select("whole", "s.node", "s.fps", "s.sketch"))
+    rows = cut(_features(texts, seeds).where(F.col("whole") != F.lit(xxhash.xxh3_128_digest(b""))))
+    first = rows.groupBy("whole").agg(F.min_by(F.struct("node", "fps"), "node").alias("s"))
+    nodes = cut(first.select("whole", "s.node", "s.fps"))
     found = covering.links(nodes.select("node", F.col("fps").alias("fp")), radius)
-    of = nodes.select("node", "sketch")
-    pairs = found.join(of.toDF("n", "x"), F.col("a") == F.col("n")).drop("n").join(of.toDF("n", "y"), F.col("b") == F.col("n")).drop("n")
-    seen = cut(_estimated(pairs.select("a", "b", "x", "y")).where(F.col("alike") >= similarity - UNSURE))
-    sure = F.col("alike") >= similarity + UNSURE
-    roots = stars(seen.where(sure).select("a", "b").unionAll(_checked(seen.where(~sure).select("a", "b"), texts, size, similarity)))
+    roots = stars(_verified(found, texts, size, similarity))
     keepers = nodes.join(roots, F.col("node") == F.col("a"), "left").select(F.col("whole").alias("w"), F.coalesce("b", "node").alias("keeper"))
     return rows.join(keepers, F.col("whole") == F.col("w")).where("node <> keeper").select("node", "keeper").distinct()
 

@@ -184,3 +184,36 @@ def test_sketch_estimates_similarity():
             a, b = (np.frombuffer(simhash.sketch(x), np.uint8) for x in (h[:2000], np.concatenate((h[n:2000], h[2000 : 2000 + n]))))
             got.append(((a == b) & (a > 0)).sum() / ((a > 0) | (b > 0)).sum())
         assert np.mean(got) == pytest.approx(share, abs=0.02)
+
+
+@pytest.mark.parametrize("part", [simhash.PART_SHINGLES, 5000])
+def test_members_less_alike_than_their_base(frame, monkeypatch, part):
+    """Fingerprints of words are all equal; the smallest id is like none, members are alike to the base only."""
+    monkeypatch.setattr(simhash, "PART_SHINGLES", part)
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+
+    def swapped(*places):
+        words = list(base)
+        for k in places:
+            words[k], words[k + 1] = words[k + 1], words[k]
+        return " ".join(words)
+
+    places = [(i, j) for i in range(6, 112, 2) for j in range(i + 8, 112, 2)]
+    members = [swapped(*p) for p in (places if part > 5000 else places[::9])]
+    assert jaccard(" ".join(base), members[0]) > 0.8 > jaccard(members[0], members[-1])
+    apart = [" ".join(draw.sample(base, len(base))) for _ in range(20)]
+    rows = [(k, t) for k, t in enumerate(apart + members)] + [(100_000, " ".join(base))]
+    gone = {r.node for r in simhash.copies(frame(rows)).collect()}
+    assert gone == {*range(21, len(rows) - 1), 100_000}
+
+
+def test_forest_against_all_pairs():
+    draw = random.Random(3)
+    for _ in range(60):
+        heads = [draw.sample(range(60), draw.randint(1, 12)) for _ in range(4)]
+        sets = [np.array(sorted({*draw.choice(heads), *draw.sample(range(60), draw.randint(0, 3))})) for _ in range(draw.randint(2, 40))]
+        least = draw.choice((0.5, 0.8))
+        alike = [(j, i) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= least * len(np.union1d(sets[i], sets[j]))]
+        found = simhash._forest(sets, list(range(len(sets))), least)
+        assert joined(found) == joined(alike) and len(found) == len(joined(alike))
