@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -116,9 +116,20 @@ def draws(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", te
     with equal ids share a block and are drawn in order of size.  No rows in, no rows out.  The taken words of
     a source sum to floor(target); reruns agree.
     """
+    rows = _drawn(docs, doc_id, source, text, weights, share, most, shards, seed)
+    return rows.select("doc_id", "size", "source_size", "target", "draws")
+
+
+def _row_key(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def _drawn(docs: DataFrame, doc_id: str, source: str, text: str, weights: tuple[int, ...], share: float, most: float, shards: int, seed: int) -> DataFrame:
+    """``draws`` with source and row, the row key of the text."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(_SPACE)), F.lit(0)).cast("long")
     mark = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
-    sized = cut(pick(docs, doc_id=doc_id, source=source, text=text).select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), mark.alias("mark")))
+    sized = cut(pick(docs, doc_id=doc_id, source=source, text=text).select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), mark.alias("mark"), _row_key(F.col("text")).alias("row")))
     block = F.pmod(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long"), F.lit(BLOCKS))
     sized = sized.withColumn("block", block)
     blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
@@ -140,7 +151,7 @@ def draws(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", te
     per_block = blocks.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     per_block = per_block.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "full", "left", "part", "filled", "n_blocks", "ends")
     rows = sized.join(per_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    within = W.partitionBy("source", "block").orderBy("mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "block").orderBy("mark", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("room", F.col("left") - F.coalesce(F.sum("size").over(within), F.lit(0)))
     extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("room")))
 
@@ -152,17 +163,29 @@ def draws(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", te
     whole = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("full"), F.lit(1)) - 1), lambda k: drawn(k, F.col("size")))).otherwise(F.array())
     last = F.when(extra > 0, F.array(drawn(F.col("full"), extra))).otherwise(F.array())
     both = F.filter(F.concat(whole, last), lambda d: d["words"] > 0)
-    return rows.select("doc_id", "size", "source_size", "target", both.alias("draws"))
+    return rows.select("doc_id", "source", "row", "size", "source_size", "target", both.alias("draws"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """``docs`` as mixed: a row for each draw, with the columns of ``docs`` and mix_pass, mix_words, mix_shard and
-    mix_position, the order inside its shard.  Documents that no shard draws are left out.  Ids should be
-    unique; rows with equal ids each get the draws of all of them."""
-    own, key = docs.columns, options.get("doc_id", "doc_id")
-    drawn = draws(docs, **options).where(F.size("draws") > 0).select(F.col("doc_id").alias("mix_id"), F.inline("draws").alias("mix_pass", "mix_words", "mix_shard", "mix_position"))
+    mix_position, the order inside its shard.  Documents that no shard draws are left out.  Every row gets its own
+    draws: rows with a null id or with equal ids are told apart by source and text, and equal ones are numbered."""
+    own = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(own))))
-    out = plain.join(drawn, plain[f"c{own.index(key)}"].eqNullSafe(drawn["mix_id"])).drop("mix_id")
+    key, of, body = (f"c{own.index(c)}" for c in (doc_id, source, text))
+    drawn = cut(_drawn(docs, doc_id, source, text, weights, share, most, shards, seed).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("row").alias("mix_row"), "draws"))
+    again = cut(drawn.where("mix_id is not null").groupBy("mix_id").count().where("count > 1").select(F.col("mix_id").alias("again")))
+    single = drawn.where("mix_id is not null").join(again, F.col("mix_id") == F.col("again"), "left_anti")
+    gives = [F.inline("draws").alias("mix_pass", "mix_words", "mix_shard", "mix_position")]
+    out = plain.join(single.where(F.size("draws") > 0), F.col(key) == F.col("mix_id")).select(*plain.columns, *gives)
+    if not again.isEmpty() or not drawn.where("mix_id is null").isEmpty():
+        rest = plain.join(again, F.col(key) == F.col("again"), "left_semi").unionAll(plain.where(F.col(key).isNull()))
+        rest = rest.withColumn("at_source", F.col(of).cast("string")).withColumn("at_row", _row_key(F.col(body)))
+        rest = rest.withColumn("at", F.row_number().over(W.partitionBy(key, "at_source", "at_row").orderBy(F.lit(0))))
+        many = drawn.where("mix_id is null").unionAll(drawn.join(again, F.col("mix_id") == F.col("again"), "left_semi"))
+        many = many.withColumn("mix_at", F.row_number().over(W.partitionBy("mix_id", "mix_source", "mix_row").orderBy(F.lit(0)))).where(F.size("draws") > 0)
+        same = F.col(key).eqNullSafe(F.col("mix_id")) & F.col("at_source").eqNullSafe(F.col("mix_source")) & (F.col("at_row") == F.col("mix_row")) & (F.col("at") == F.col("mix_at"))
+        out = out.unionAll(rest.join(many, same).select(*plain.columns, *gives))
     return out.toDF(*own, *out.columns[len(own) :])
 
 

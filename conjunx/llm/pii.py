@@ -144,7 +144,12 @@ def spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
     A null or empty text has none.  Rows are judged each by itself but for the reliabilities, which all rows'
     candidates give; without candidates none are added.  Candidates that overlap base spans are left out.
     """
-    df = pick(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return _spans(pick(docs, doc_id=doc_id, text=text), "doc_id")
+
+
+def _spans(df: DataFrame, *carried: str) -> DataFrame:
+    """The columns ``carried``, base and found of each row of ``df``, by its column text."""
+    df = df.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     digit = F.col("text").rlike("[0-9]")
     needs = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
     for k, kind in enumerate(KINDS):
@@ -156,7 +161,7 @@ def spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
         if kind == "secret":
             df = df.withColumn(kind, F.filter(kind, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")))
         df = df.withColumn(kind, _seen(k, kind))
-    df = df.select("doc_id", F.concat(*KINDS).alias("base"), F.concat(*ADDED).alias("candidates"))
+    df = df.select(*carried, F.concat(*KINDS).alias("base"), F.concat(*ADDED).alias("candidates"))
     free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     df = cut(df.withColumn("candidates", F.when((F.size("base") > 0) & (F.size("candidates") > 0), free).otherwise(F.col("candidates"))))
     counted = df.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.features").count()
@@ -167,7 +172,7 @@ def spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
         name = lambda kind, features: F.concat_ws(",", kind.cast("string"), F.array_join(features.cast("array<string>"), ","))
         good = [",".join(map(str, (kind, *features))) for kind, features in accepted]
         added = F.transform(F.filter("candidates", lambda c: name(c["kind"], c["features"]).isin(good)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop")))
-    return df.select("doc_id", "base", F.concat("base", added).alias("found"))
+    return df.select(*carried, "base", F.concat("base", added).alias("found"))
 
 
 def reliabilities(counts: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[list[list[float]]], dict[tuple[int, ...], float]]:
@@ -230,12 +235,11 @@ def _text_of(array: str) -> Column:
 def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span of a text replaced by its kind in angle brackets, overlapping ones by the first's.
 
-    Ids should be unique: spans are joined to texts by id, and rows with equal ids or none keep their text only
-    if no row with that id has spans."""
+    Each row is cut at the spans of its own text, whatever its id; a row carries its columns along."""
     own = docs.columns
-    found = spans(docs, doc_id=doc_id, text=text).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), "found")
     plain = docs.toDF(*(f"c{k}" for k in range(len(own))))
-    key, body = f"c{own.index(doc_id)}", f"c{own.index(text)}"
+    body = f"c{own.index(text)}"
+    found = _spans(plain.withColumn("text", F.col(body)), *plain.columns)
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in (*KINDS, *ADDED)))
     ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"], s["stop"], s["kind"])))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -246,8 +250,7 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
         return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
 
     new = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(body), a["at"] + 1, F.length(body))))
-    out = plain.join(found, plain[key] == found["_id"], "left").withColumn(body, F.when(F.col("found").isNull(), F.col(body)).otherwise(new))
-    return out.select(*plain.columns).toDF(*own)
+    return found.withColumn(body, F.when(F.size("found") > 0, new).otherwise(F.col(body))).select(*plain.columns).toDF(*own)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -112,3 +112,15 @@ def test_draws_of_a_source_are_disjoint_by_shard(frame):
 def test_no_python_on_the_executors(spark, data):
     plan = M.op7_mix(spark, data)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_rows_without_id_or_with_one_id_are_drawn_by_themselves(frame):
+    rows = [(None, f"n{k % 9} " * (k % 9 + 1), None, f"s{k % 2}") for k in range(60)] + [(5, "w " * (k % 4 + 1), None, "s1") for k in range(40)] + [(100 + k, "u " * 20, None, "s0") for k in range(10)]
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + words(text)
+    got, goal = M.mix(frame(rows, clash=True)).collect(), water(sizes)
+    for s in sizes:
+        assert sum(r.mix_words for r in got if r.source == s) == int(goal[s] + 1e-6)
+    assert all(r.mix_words <= words(r.text) for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, M.mix(frame(rows, clash=True).repartition(3)).collect()))

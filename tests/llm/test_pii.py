@@ -78,6 +78,12 @@ def test_redact(frame):
     assert pii.redact(frame([], clash=True)).count() == 0
 
 
+def test_redact_rows_without_id_or_with_one_id(frame):
+    rows = [(None, "mail a@b.co"), (None, "at 1.2.3.4 now"), (7, "see x@y.zz, please"), (7, "a longer text, with 5.6.7.8"), (7, "none")]
+    got = sorted(r.text for r in pii.redact(frame(rows, clash=True)).collect())
+    assert got == sorted(["mail <EMAIL>", "at <IP> now", "see <EMAIL>, please", "a longer text, with <IP>", "none"])
+
+
 def test_no_python_on_the_executors(spark, data):
     df = pii.op3_pii(spark, data)
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
