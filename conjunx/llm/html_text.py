@@ -22,15 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import mapped, pick, small, table
+from conjunx.llm.common import cut, mapped, pick, small, table
 from conjunx.llm.url_filter import host_of
 
 LEAST, PAGES = 8, 3
 SHARD_CHARS = 4_000_000
 
-#: Whether a page may have an article.  Decides only who looks at a page, not what is found.
-HAS_ARTICLE = r"""(?i)<(?:article|main)[\s>/]|role\s*=\s*["']?main"""
-
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKEN = re.compile(r"[a-z0-9]+")
@@ -230,25 +227,26 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", bod
     """
     rows = pick(pages, page_id=page_id, url=url, html=body)
     rows = rows.withColumn("html", F.coalesce(F.col("html").cast("string"), F.lit("")))
-    marked = F.col("html").rlike(HAS_ARTICLE)
     kind = rows.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string"
 
     def parse(batches):
         for batch in small(batches):
-            texts = ["\n".join(main_blocks(t)[1]) for t in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            found = [main_blocks(t) for t in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([a for a, _ in found], pa.bool_()), pa.array([b for _, b in found], pa.list_(pa.string()))], names=["page_id", "url", "article", "blocks"])
 
-    rest = rows.where(~marked).withColumn("host", host_of(F.col("url")))
-    sizes = rest.groupBy("host").agg(F.ceil(F.sum(F.length("html")) / SHARD_CHARS).cast("int").alias("shards")).withColumnRenamed("host", "h")
-    rest = rest.join(sizes, F.col("host") == F.col("h")).withColumn("shard", F.pmod(F.xxhash64("page_id", "url", "html"), F.greatest("shards", F.lit(1))))
+    parsed = cut(mapped(rows, parse, f"page_id {kind}, url string, article boolean, blocks array<string>"))
+    rest = parsed.where(~F.col("article")).withColumn("host", host_of(F.col("url")))
+    length = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b) + 1)
+    sizes = rest.groupBy("host").agg(F.ceil(F.sum(length) / SHARD_CHARS).cast("int").alias("shards")).withColumnRenamed("host", "h")
+    rest = rest.join(sizes, F.col("host") == F.col("h")).withColumn("shard", F.pmod(F.xxhash64("page_id", "url", "blocks"), F.greatest("shards", F.lit(1))))
 
     def clean(group: pa.Table) -> pa.Table:
-        found = unique_runs([main_blocks(t)[1] for t in group["html"].to_pylist()])
+        found = unique_runs(group["blocks"].to_pylist())
         return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(["\n".join(x) for x in found], pa.string())})
 
-    rest = rest.select("page_id", "url", "html", "host", "shard").groupBy("host", "shard").applyInArrow(clean, schema)
-    return mapped(rows.where(marked), parse, schema).unionAll(rest)
+    rest = rest.select("page_id", "url", "blocks", "host", "shard").groupBy("host", "shard").applyInArrow(clean, schema)
+    return parsed.where("article").select("page_id", "url", F.array_join("blocks", "\n").alias("text")).unionAll(rest)
 
 
 def op8_text(spark, sf_dir: str) -> DataFrame:

@@ -90,6 +90,16 @@ def test_a_passage_of_articles_stays(spark):
     assert got[3] == "This work is licensed under the very same license everywhere\nt3"
 
 
+def test_pages_whose_article_is_none_go_to_the_array(spark):
+    end = "<p>Copyright by the company of this host for ever and all of its friends</p>"
+    marks = ["<script>'<main>'</script>", "<!-- <article> -->", "<main></main>", '<article class="related">other</article>', '<div data-x=\'role="main"\'></div>', ""]
+    rows = [(k, "http://h.example.com/", f"<body>{mark}<p>own words {k}</p>{end}</body>") for k, mark in enumerate(marks)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"own words {k}" for k in range(len(marks))}
+    two = spark.createDataFrame([rows[0], rows[1], rows[5]], "page_id long, url string, html string")  # marked pages are witnesses
+    assert {r.page_id: r.text for r in H.extract(two).collect()} == {k: f"own words {k}" for k in (0, 1, 5)}
+
+
 def test_edges(spark, folder, monkeypatch):
     long = "word " * 100000
     rows = [(1, None, None, 1), (2, "u", "", 1), (3, None, f"<p>{long}</p>", 1), (3, None, f"<p>{long}</p>", 1), (None, "http://a/", PAGE, 1), (4, "http://a/", "<nav>x</nav>", 1)]
