@@ -8,7 +8,9 @@ of their host: word streams one after another, suffixes sorted by their first ``
 ``PAGES`` distinct pages or more are boilerplate, and what they do not cover is kept.
 
 A host of more than ``SHARD_CHARS`` characters is dealt, by a hash of its pages, into shards, each with an array
-of its own: a task's memory is bounded and no host meets in one task.
+of its own: a task's memory is bounded and no host meets in one task.  Pages are counted over all shards: each
+gives the hashes of its runs of ``LEAST`` words and of its blocks with their numbers of pages, and gets back those
+that the host has on ``PAGES`` pages, so that shards change nothing in what is found.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,26 +177,29 @@ def suffix_array(stream: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated(stream: np.ndarray, page: np.ndarray, least: int = LEAST, pages: int = PAGES) -> np.ndarray:
-    """Which places of ``stream`` lie in a substring of ``least`` words or more that ``pages`` distinct pages have.
-    Places of page -1 are ends of pages and are in none."""
+def _fits(page: np.ndarray, least: int) -> np.ndarray:
+    """At which places ``least`` words follow before the page ends."""
+    ends = np.concatenate((np.flatnonzero(page < 0), [len(page)]))
+    return ends[np.searchsorted(ends, np.arange(len(page)))] - np.arange(len(page)) >= least
+
+
+def repeated(stream: np.ndarray, page: np.ndarray, least: int = LEAST, pages: int = PAGES, also: np.ndarray | None = None) -> np.ndarray:
+    """Which places of ``stream`` lie in a substring of ``least`` words or more that ``pages`` distinct pages have,
+    or that starts at a place of ``also``.  Places of page -1 are ends of pages and are in none."""
     covered = np.zeros(len(stream) + 1, np.int64)
     if len(stream) >= least:
         order, rank = suffix_array(stream, least)
-        ends = np.concatenate((np.flatnonzero(page < 0), [len(stream)]))
-        fits = ends[np.searchsorted(ends, np.arange(len(stream)))] - np.arange(len(stream)) >= least
-        order = order[fits[order]]
+        order = order[_fits(page, least)[order]]
         seen = np.unique(np.stack((rank[order], page[order]), 1), axis=0)
         common = np.bincount(seen[:, 0], minlength=rank.max() + 1) >= pages
-        at = order[common[rank[order]]]
+        at = order[common[rank[order]] if also is None else common[rank[order]] | also[order]]
         np.add.at(covered, at, 1)
         np.add.at(covered, at + least, -1)
     return np.cumsum(covered)[:-1] > 0
 
 
-def unique_runs(pages_: list[list[str]], least: int = LEAST, pages: int = PAGES) -> list[list[str]]:
-    """The blocks of each page without the runs of words that ``pages`` pages share; a block as a whole, however
-    short, is such a run.  Edges of blocks count as words, so that rows of short blocks are found as well."""
+def _stream(pages_: list[list[str]]) -> tuple[np.ndarray, np.ndarray, dict[str, int], dict[str, set[int]]]:
+    """The pages' numbered words, their pages, the numbers, and which pages have each block.  0 is an edge of a block."""
     number: dict[str, int] = {}
     stream, owner, whole = [], [], {}
     for k, page in enumerate(pages_):
@@ -204,7 +210,41 @@ def unique_runs(pages_: list[list[str]], least: int = LEAST, pages: int = PAGES)
             owner.extend([k] * (len(stream) - len(owner)))
         stream.append(-1 - k)
         owner.append(-1)
-    gone = repeated(np.array(stream, np.int64), np.array(owner, np.int64), least, pages)
+    return np.array(stream, np.int64), np.array(owner, np.int64), number, whole
+
+
+def _runs(stream: np.ndarray, number: dict[str, int], least: int) -> np.ndarray:
+    """By place the hash of the ``least`` words from there, equal in all shards; of no meaning where the page ends before."""
+    word = np.array([0x9E3779B97F4A7C15, *(xxhash.xxh64_intdigest(w) for w in number)], np.uint64)
+    own, out, factor = word[np.maximum(stream, 0)], np.zeros(len(stream), np.uint64), 1
+    for k in range(min(least, len(stream))):
+        factor = factor * 0xC2B2AE3D27D4EB4F % 2**64
+        out[: len(stream) - k] += own[k:] * np.uint64(factor)
+    return out.view(np.int64)
+
+
+def _block(text: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(text, 1)).view(np.int64))
+
+
+def marks(pages_: list[list[str]], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pages' runs of ``least`` words and of their blocks, and how many of the pages have each."""
+    stream, page, number, whole = _stream(pages_)
+    fits = _fits(page, least)
+    seen = np.unique(np.stack((_runs(stream, number, least)[fits], page[fits]), 1), axis=0)
+    run, n = np.unique(seen[:, 0], return_counts=True)
+    return np.concatenate((run, np.array([_block(b) for b in whole], np.int64))), np.concatenate((n, np.array([len(x) for x in whole.values()], np.int64)))
+
+
+def unique_runs(pages_: list[list[str]], least: int = LEAST, pages: int = PAGES, known: np.ndarray | None = None) -> list[list[str]]:
+    """The blocks of each page without the runs of words that ``pages`` pages share; a block as a whole, however
+    short, is such a run.  Edges of blocks count as words, so that rows of short blocks are found as well.
+    ``known``: marks of runs and blocks that as many pages share, these and others of the host."""
+    stream, owner, number, whole = _stream(pages_)
+    also = None if known is None else np.isin(_runs(stream, number, least), known)
+    gone = repeated(stream, owner, least, pages, also)
+    blocks_known = set() if known is None else set(known.tolist())
+    common = {b for b, of in whole.items() if len(of) >= pages or (blocks_known and _block(b) in blocks_known)}
     out, pos = [], 0
     for page in pages_:
         kept = []
@@ -212,7 +252,7 @@ def unique_runs(pages_: list[list[str]], least: int = LEAST, pages: int = PAGES)
             words = text.split(" ")
             left = [w for w, g in zip(words, gone[pos + 1 : pos + 1 + len(words)].tolist(), strict=True) if not g]
             pos += len(words) + 1
-            if left and len(whole[text]) < pages:
+            if left and text not in common:
                 kept.append(" ".join(left))
         pos += 1
         out.append(kept)
@@ -245,7 +285,20 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", bod
         found = unique_runs(group["blocks"].to_pylist())
         return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(["\n".join(x) for x in found], pa.string())})
 
-    rest = rest.select("page_id", "url", "blocks", "host", "shard").groupBy("host", "shard").applyInArrow(clean, schema)
+    def marked(group: pa.Table) -> pa.Table:
+        mark, n = marks(group["blocks"].to_pylist())
+        return pa.table({"host": pa.repeat(group["host"][0], len(mark)), "shard": pa.repeat(group["shard"][0], len(mark)), "mark": mark, "n": n})
+
+    def clean_shard(group: pa.Table, known: pa.Table) -> pa.Table:
+        found = unique_runs(group["blocks"].to_pylist(), known=known["mark"].to_numpy())
+        return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(["\n".join(x) for x in found], pa.string())})
+
+    rest = rest.select("page_id", "url", "blocks", "host", "shard", "shards")
+    split = rest.where("shards > 1").drop("shards").groupBy("host", "shard")
+    counted = split.applyInArrow(marked, "host string, shard long, mark long, n long").groupBy("host", "mark").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("of"))
+    known = counted.where(F.col("n") >= PAGES).select("host", F.explode("of").alias("shard"), "mark")
+    whole = rest.where("shards <= 1").drop("shards").groupBy("host", "shard").applyInArrow(clean, schema)
+    rest = whole.unionAll(split.cogroup(known.groupBy("host", "shard")).applyInArrow(clean_shard, schema))
     return parsed.where("article").select("page_id", "url", F.array_join("blocks", "\n").alias("text")).unionAll(rest)
 
 

@@ -100,6 +100,20 @@ def test_pages_whose_article_is_none_go_to_the_array(spark):
     assert {r.page_id: r.text for r in H.extract(two).collect()} == {k: f"own words {k}" for k in (0, 1, 5)}
 
 
+def test_shards_of_a_host_count_pages_together(spark, monkeypatch):
+    draw = random.Random(4)
+    shared = [" ".join(f"s{j}x{i}" for i in range(12)) for j in range(30)]
+    rows = []
+    for k in range(120):
+        own = [" ".join(f"w{k}x{i}" for i in range(10))] + [f"start{k} {draw.choice(shared)} end{k}" for _ in range(2)] + draw.sample(["Home", "About us", f"only {k // 2}"], 2)
+        rows.append((k, "http://h.example.com/", "".join(f"<p>{b}</p>" for b in draw.sample(own, len(own)))))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert any("only" in t for t in whole.values()) and not any("s1x1" in t or "Home" in t for t in whole.values())
+    monkeypatch.setattr(H, "SHARD_CHARS", 1000)
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == whole
+
+
 def test_edges(spark, folder, monkeypatch):
     long = "word " * 100000
     rows = [(1, None, None, 1), (2, "u", "", 1), (3, None, f"<p>{long}</p>", 1), (3, None, f"<p>{long}</p>", 1), (None, "http://a/", PAGE, 1), (4, "http://a/", "<nav>x</nav>", 1)]
