@@ -2,22 +2,30 @@
 
 The models are variable-order Markov models over bytes, orders 0 to ``ORDER``, each order smoothed towards the one
 below it.  Counts come from all URLs that a rule decides, as labelled by it; every fifth (by a hash) is kept for
-calibration.  Counts are kept in ``BUCKETS`` hashed cells for each class, a fixed 32 MB, and are summed in every
-task before they are shuffled.  A URL's score is the log-likelihood difference a byte; the threshold is the one
+calibration.  Counts are exact, in a table keyed by order, context and byte, which fit a long, and grow with the
+input.  Up to ``SHIP`` n-grams are sent to every task; of more, those of the most frequent contexts are, and the
+others are joined to the URLs that have their contexts.  A URL's score is the log-likelihood difference a byte; the threshold is the one
 with the least mean error of both classes on the calibration URLs.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import mapped, pick, small, table, utf8
+from conjunx.llm.common import cut, mapped, pick, small, table, utf8
 
 ORDER = 5
+#: Cells of a table without keys.
 BUCKETS = 1 << 20
+#: N-grams that are sent to every task, some 100 MB there.
+SHIP = 1_000_000
+#: What tells a context's key from a gram's.
+CONTEXT = 1 << 60
 #: Weight, in observations, of the next lower order.
 STRENGTH = 2.0
 #: Bins of the calibration histogram over scores from -SPAN to SPAN.
@@ -50,56 +58,91 @@ def rule_for(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _cells(urls: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For the bytes of ``urls`` in a row: where each URL starts, for each order the cells of context and of
-    context with byte, and the URLs' lengths."""
+class _Model(NamedTuple):
+    """Counts n (class, gram) of the sorted ``grams`` that are sent to tasks; a table of the others, if there are any."""
+
+    grams: np.ndarray
+    n: np.ndarray
+    far: DataFrame | None
+
+
+def _grams(urls: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For the bytes of ``urls`` in a row: where each URL starts, for each order the keys (order, context, byte) of
+    its n-grams, whose eighth bits and up are the context's, and the URLs' lengths."""
     pad = b"\0" * ORDER
-    raw = np.frombuffer(b"".join(pad + u.translate(_FOLD) for u in urls), np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b"".join(pad + u.translate(_FOLD) for u in urls), np.uint8).astype(np.int64)
     sizes = np.fromiter(map(len, urls), np.int64, len(urls))
     begin = np.cumsum(sizes + ORDER) - sizes
     at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    here, context, out, factor = raw[at], np.zeros(len(at), np.uint64), [], np.uint64(1)
-    shift = np.uint64(65 - BUCKETS.bit_length())
+    here, context, out = raw[at], np.zeros(len(at), np.int64), []
     for n in range(ORDER + 1):
         if n:
-            factor = np.uint64(int(factor) * 1_000_003 & 2**64 - 1)
-            context = context + (raw[at - n] + np.uint64(1)) * factor
-        own = (context ^ np.uint64(n + 1)) * _ODD
-        own ^= own >> np.uint64(29)
-        gram = (own + (here + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)) * _ODD
-        gram ^= gram >> np.uint64(32)
-        out.append(((own * _ODD) >> shift, (gram * _ODD) >> shift))
+            context = context | raw[at - n] << 8 * (n - 1)
+        out.append((n << 48) | context << 8 | here)
     return np.cumsum(sizes) - sizes, out, sizes
 
 
-def _counted(urls: DataFrame) -> np.ndarray:
-    """Counts in cells, (class, context or context with byte, cell), from url and label (0 accepted, 1 rejected)."""
+def _cells(urls: list[bytes], keys: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """As ``_grams``, with the cells of contexts and of grams: their places in the sorted ``keys``, or the place
+    after the last.  Without keys, for a few n-grams, cells are hashes."""
+    starts, grams, sizes = _grams(urls)
+
+    def cell(key: np.ndarray) -> np.ndarray:
+        if keys is None:
+            h = key.astype(np.uint64) * _ODD
+            return ((h ^ h >> np.uint64(32)) * _ODD) >> np.uint64(65 - BUCKETS.bit_length())
+        at = np.searchsorted(keys, key)
+        return np.where(keys[np.minimum(at, len(keys) - 1)] == key, at, len(keys))
+
+    return starts, [(cell(g >> 8 | CONTEXT), cell(g)) for g in grams], sizes
+
+
+def _table(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of grams and their contexts, and counts (class, context or gram, place), with a place for none."""
+    context, first = np.unique(grams >> 8, return_index=True)
+    counts = np.zeros((2, 2, len(grams) + len(context) + 1), np.int64)
+    counts[:, 1, : len(grams)] = n
+    if len(grams):
+        counts[:, 0, len(grams) : -1] = np.add.reduceat(n, first, axis=1)
+    return np.concatenate((grams, context | CONTEXT)), counts
+
+
+def _counted(urls: DataFrame) -> _Model | None:
+    """The model from url and label (0 accepted, 1 rejected); none if one label has no n-grams."""
 
     def run(batches):
-        total = np.zeros((2, 2, BUCKETS), np.int64)
         for batch in small(batches):
             label = batch.column("label").to_numpy(zero_copy_only=False)
             texts = utf8(batch.column("url"))
             for k in (0, 1):
-                _, cells, _ = _cells([texts[i] for i in np.flatnonzero(label == k)])
-                for context, gram in cells:
-                    total[k, 0] += np.bincount(context.astype(np.int64), minlength=BUCKETS)
-                    total[k, 1] += np.bincount(gram.astype(np.int64), minlength=BUCKETS)
-        flat = total.ravel()
-        cell = np.flatnonzero(flat)
-        for k in range(0, len(cell), 100_000):
-            part = cell[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(flat[part])], names=["cell", "n"])
-
-    counts = np.zeros(4 * BUCKETS, np.int64)
-    found = mapped(urls, run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return counts.reshape(2, 2, BUCKETS)
-
-
-def _score(urls: list[bytes], counts: np.ndarray) -> np.ndarray:
+                gram, n = np.unique(np.concatenate(_grams([texts[i] for i in np.flatnonzero(label == k)])[1]), return_counts=True)
+                none = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(none if k else n), pa.array(n if k else none)], names=["gram", "n0", "n1"])
+
+    counted = cut(mapped(urls, run, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    total = counted.agg(F.count("*").alias("n"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    if not total.n0 or not total.n1:
+        return None
+    near, far = counted, None
+    if total.n > SHIP:
+        counted = counted.withColumn("context", F.shiftright("gram", 8))
+        often = counted.groupBy("context").agg(F.floor(F.log2(F.sum(F.col("n0") + F.col("n1")))).cast("int").alias("level"), F.count("*").alias("n"))
+        often = cut(often)
+        level, sent = 64, 0
+        for r in sorted(often.groupBy("level").agg(F.sum("n").alias("n")).collect(), reverse=True):
+            if (sent := sent + r.n) > SHIP:
+                break
+            level = r.level
+        both = cut(counted.join(often.select(F.col("context").alias("c"), "level"), F.col("context") == F.col("c")))
+        near = both.where(F.col("level") >= level)
+        far = cut(both.where(F.col("level") < level).groupBy("context").agg(F.collect_list(F.struct("gram", "n0", "n1")).alias("grams")))
+    found = near.select("gram", "n0", "n1").toArrow().sort_by("gram")
+    return _Model(found["gram"].to_numpy(), np.stack((found["n0"].to_numpy(), found["n1"].to_numpy())), far)
+
+
+def _score(urls: list[bytes], counts: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
     """Log-likelihood difference a byte, accepted less rejected; 0 for an empty URL."""
-    starts, cells, sizes = _cells(urls)
+    starts, cells, sizes = _cells(urls, keys)
     if not sizes.sum():
         return np.zeros(len(urls))
     logs = []
@@ -114,20 +157,44 @@ def _score(urls: list[bytes], counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scored(df: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``df`` with score, from its column url.  Only cells with counts are sent."""
-    some = np.flatnonzero(counts)
-    shared = df.sparkSession.sparkContext.broadcast((some.astype(np.int32), counts.ravel()[some]))
+def _scored(df: DataFrame, model: _Model) -> DataFrame:
+    """``df`` with score, from its column url."""
+    shared = df.sparkSession.sparkContext.broadcast((model.grams, model.n))
+    schema = df.withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
-        full = np.zeros(4 * BUCKETS, np.int64)
-        full[shared.value[0]] = shared.value[1]
-        full = full.reshape(2, 2, BUCKETS)
+        keys, counts = _table(*shared.value)
+        for batch in small(batches):
+            texts = [t or b"" for t in utf8(batch.column("url"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_score(texts, counts, keys), pa.float64())], names=[*batch.schema.names, "score"])
+
+    if model.far is None:
+        return mapped(df, run, schema)
+
+    def wanted(batches):
+        context = np.unique(shared.value[0] >> 8)
+        for batch in small(batches):
+            starts, grams, sizes = _grams(utf8(batch.column("url")))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pair = np.unique(np.stack((np.tile(owner, ORDER + 1), np.concatenate(grams) >> 8), 1), axis=0)
+            pair = pair[~np.isin(pair[:, 1], context)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(pair[:, 0])), pa.array(pair[:, 1])], names=["id", "wanted"])
+
+    def run_far(batches):
+        grams, n = shared.value
         for batch in small(batches):
             texts = [t or b"" for t in utf8(batch.column("url"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_score(texts, full), pa.float64())], names=[*batch.schema.names, "score"])
+            more = batch.column("_far").flatten().flatten()  # the same grams may come with several URLs
+            own, first = np.unique(more.field("gram").to_numpy(zero_copy_only=False).astype(np.int64), return_index=True)
+            all_, both = np.concatenate((grams, own)), np.concatenate((n, np.stack([more.field(c).to_numpy(zero_copy_only=False).astype(np.int64)[first] for c in ("n0", "n1")])), 1)
+            order = np.argsort(all_, kind="stable")
+            keys, counts = _table(all_[order], both[:, order])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(_score(texts, counts, keys), pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
-    return mapped(df, run, df.withColumn("score", F.lit(0.0)).schema)
+    urls = df.where("url is not null").select("url").distinct().select(F.xxhash64("url").alias("id"), "url")
+    found = mapped(urls, wanted, "id long, wanted long").join(model.far, F.col("wanted") == F.col("context"))
+    found = found.groupBy("id").agg(F.collect_list("grams").alias("_far"))
+    return mapped(df.join(found, F.xxhash64("url") == F.col("id"), "left").select(*df.columns, "_far"), run_far, schema)
 
 
 def _threshold(scored: DataFrame) -> float:
@@ -157,11 +224,10 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules
     rows = rows.withColumn("rule", text).withColumn("ruled", verdict)
     known = rows.where("ruled is not null and url is not null").select("url", (F.col("ruled") == "block").cast("int").alias("label"))
     apart = F.pmod(F.xxhash64("url", F.lit("calibration")), F.lit(5)) == 0
-    counts = _counted(known.where(~apart))
-    if not counts[:, 1].any(axis=1).all():
+    if (model := _counted(known.where(~apart))) is None:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    cut_at = _threshold(_scored(known.where(apart), counts))
-    judged = _scored(rows, counts)
+    cut_at = _threshold(_scored(known.where(apart), model))
+    judged = _scored(rows, model)
     own = F.when(F.col("score") < cut_at, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
 

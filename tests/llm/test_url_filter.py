@@ -60,6 +60,57 @@ def test_scores_follow_the_counts():
     assert up > 1 > -1 > down and none == 0
 
 
+def folded(u):
+    return "".join("0" if c.isdigit() else c for c in u.lower())
+
+
+def grams(u):
+    padded = "\0" * 5 + u
+    return [(padded[k + 5 - n : k + 5], c, n) for k, c in enumerate(u) for n in range(6)]
+
+
+def exact(train):
+    """Scores by plain dictionaries."""
+    tables = []
+    for urls in train:
+        context, gram = {}, {}
+        for u in urls:
+            for at, c, _ in grams(folded(u)):
+                context[at] = context.get(at, 0) + 1
+                gram[at, c] = gram.get((at, c), 0) + 1
+        tables.append((context, gram))
+
+    def score(text):
+        total, p = [0, 0], 0
+        for at, c, n in grams(folded(text)):
+            p = p if n else [1 / 256] * 2
+            p = [(g.get((at, c), 0) + 2 * q) / (x.get(at, 0) + 2) for q, (x, g) in zip(p, tables, strict=True)]
+            if n == 5:
+                total = [s + np.log(q) for s, q in zip(total, p, strict=True)]
+        return (total[0] - total[1]) / len(text)
+
+    return score
+
+
+@pytest.mark.parametrize("ship", [U.SHIP if hasattr(U, "SHIP") else 0, 20_000, 30])
+def test_scores_are_exact_where_a_fixed_table_is_full(spark, monkeypatch, ship):
+    """More distinct n-grams than 2^20 cells."""
+    monkeypatch.setattr(U, "SHIP", ship, raising=False)
+    n = 14_000 if ship > 20_000 else 300
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz-_", k=24))
+    urls = [f"http://{word()}.{('com', 'net')[k % 2]}/{word()}" for k in range(n)] + [f"http://{word()}.org/{word()}" for _ in range(40)]
+    df = pages(spark, urls)
+    apart = {r.url for r in df.selectExpr("url", "pmod(xxhash64(url, 'calibration'), 5) = 0 a").where("a").collect()}
+    train = [[u for u in urls[k:n:2] if u not in apart] for k in (0, 1)]
+    got = {r.page_id: r.score for r in U.judge(df, rules=(("allow", "com", "/"), ("block", "net", "/"))).collect()}
+    if n == 14_000:
+        assert len(np.unique(np.concatenate(U._grams([u.encode() for u in urls])[1]))) > 1 << 20
+    score = exact(train)
+    for k in (0, 1, n, n + 1, n + 2) if n > 300 else range(n - 20, n + 40):
+        assert got[k] == pytest.approx(score(urls[k]), abs=1e-9)
+
+
 def test_one_class_only_or_none(spark):
     got = U.judge(pages(spark, ["http://a.com/x", "http://b.org/", None])).collect()
     assert [r.verdict for r in got] == ["allow"] * 3
