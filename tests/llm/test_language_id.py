@@ -45,6 +45,8 @@ def test_words():
     w = L.words_of(texts)
     found = [(k, texts[k][a:b]) for k, a, b in zip(w.text.tolist(), w.start.tolist(), w.end.tolist(), strict=True)]
     assert found == [(0, "Ab"), (0, "c"), (0, "d"), (0, "é́x"), (2, "Я")]
+    marks = L.words_of(["12 \u25cc\u0300\u25cc\u0301 3", "\u0300\u0301", "\u0300\u0301a\u0300\u0301 \u0301\u0300b"])
+    assert list(zip(marks.text.tolist(), marks.start.tolist(), marks.end.tolist(), marks.letters.tolist(), strict=True)) == [(2, 2, 5, 3), (2, 8, 9, 1)]
     one, two = L.words_of(["fox dog"]), L.words_of(["x", "dog"])
     assert one.cells[one.first[1] :].tolist() == two.cells[two.first[1] :].tolist()  # a word's cells are its own
 
@@ -52,7 +54,7 @@ def test_words():
 def test_identify(frame, model):
     assert model.langs == ["de", "en", "ru"]
     long = " ".join([EN] * 3000)
-    rows = [(1, EN), (2, DE.upper()), (3, RU), (4, f"{EN} {EN} {DE} {DE}"), (5, None), (6, ""), (7, "12 34 !!"), (8, long), (1, EN), (None, DE)]
+    rows = [(1, EN), (2, DE.upper()), (3, RU), (4, f"{EN} {EN} {DE} {DE}"), (5, None), (6, ""), (7, "12 \u25cc\u0300\u0301\u25cc\u0301 3"), (8, long), (1, EN), (None, DE)]
     got = L.identify(frame(rows, clash=True), model)
     assert got.columns.count("lang_pred") == 1 and "a.b" in got.columns
     by = [(r.doc_id, r.lang_pred, r.lang_score, r.lang_spans) for r in got.collect()]
