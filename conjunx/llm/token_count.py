@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from conjunx.llm.common import mapped, pick, small, table
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+#: Where the query finds a vocabulary: the session's setting of this name, or else here.
+VOCABULARY_SETTING, VOCABULARY = "spark.conjunx.vocabulary", "/opt/tokenizers/word_bpe_49k.json"
 END = "</w>"
 #: Contractions, runs of letters, single digits, runs of other symbols: the words of this vocabulary.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -36,7 +37,7 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def load_vocabulary(path: str = VOCABULARY, end: str = END) -> list[bytes]:
+def load_vocabulary(path: str, end: str = END) -> list[bytes]:
     """The distinct tokens as bytes, without their end-of-word mark."""
     with open(path, encoding="utf-8") as f:
         tokens = json.load(f)["model"]["vocab"]
@@ -64,7 +65,7 @@ class LongestMatch:
         n = len(children)
         self.dead = n
         self.to = np.full((n + 1, 256), n, np.int32)
-        self.pops = np.zeros((n + 1, 256), np.uint8)
+        self.pops = np.zeros((n + 1, 256), np.min_scalar_type(max(map(len, tokens), default=1)))  # a node pops no more tokens than it has bytes
         self.flush = np.zeros(n + 1, np.int32)
         link, popped = [n] * (n + 1), [0] * (n + 1)
         level = [0]
@@ -160,4 +161,5 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], *, doc_id: str = "doc
 
 def op2_tokens(spark, sf_dir: str) -> DataFrame:
     """Per document: words, and word pieces by greedy longest match."""
-    return token_counts(table(spark, sf_dir, "documents"), load_vocabulary())
+    path = spark.conf.get(VOCABULARY_SETTING, VOCABULARY)
+    return token_counts(table(spark, sf_dir, "documents"), load_vocabulary(path))

@@ -28,7 +28,7 @@ def test_random_vocabularies(seed):
 
 def test_against_a_library(spark, data):
     of = {b: c for c, b in T._bytes_of().items()}
-    tokens = T.load_vocabulary()
+    tokens = T.load_vocabulary(T.VOCABULARY)
     names = {"".join(of[b] for b in t): k for k, t in enumerate(tokens)} | {"[UNK]": len(tokens)}
     model = WordPiece(names, unk_token="[UNK]", continuing_subword_prefix="", max_input_chars_per_word=10**6)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
@@ -46,3 +46,11 @@ def test_edges(frame, monkeypatch):
     assert got == [(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 3, 5), (5, 1, 120000), (4, 3, 5), (None, 1, 1)]
     assert T.token_counts(frame([]), [b"a"]).count() == 0
     assert T.LongestMatch([]).counts([b"ab"]).tolist() == [1]
+
+
+def test_many_pops():
+    """More tokens are popped at once than a byte counts."""
+    run = b"a" * 300
+    automaton = T.LongestMatch([b"a", b"c", run + b"b"])
+    assert automaton.counts([run + b"c", run + b"b", run, b"c" + run * 2]).tolist() == [301, 1, 300, 601]
+    assert automaton._one(run + b"c") == 301
