@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured (tests)."""
+    """The folder that all executors share.  Where none is configured: a temporary one if the driver runs all tasks
+    itself, else an error, since executors would not see each other's files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -29,6 +35,20 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder wherever Spark can, in shared folders too."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a frame that ``cut`` made, once nothing will read it again."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.nodeName().endswith("RDD") and (at := plan.rdd().getCheckpointFile()).isDefined():
+        discard(df.sparkSession, at.get())
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed names, so that other columns can neither clash nor be carried."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
@@ -46,11 +66,31 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def small(batches, rows: int = 2000):
-    """The same rows in batches of at most ``rows``, so that a worker turns few texts into Python objects at once."""
+def _bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Of each row the bytes of its texts and the rough size of its lists."""
+    out = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            n = pc.binary_length(column)
+        elif pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+            n = pc.multiply(pc.list_value_length(column), 8)
+        else:
+            continue
+        out += pc.fill_null(n, 0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def small(batches, rows: int = 2000, size: int = 8_000_000):
+    """The same rows in batches of at most ``rows`` rows and about ``size`` bytes (one row where that has more), so
+    that a worker turns little into Python objects at once."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        ends = np.cumsum(_bytes(batch))
+        k = 0
+        while k < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, side="right"))
+            stop = min(k + rows, max(k + 1, full))
+            yield batch.slice(k, stop - k)
+            k = stop
 
 
 def id_bucket(doc_id: str, mod: int):
