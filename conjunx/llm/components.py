@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import cut
+from conjunx.llm.common import cut, forget
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def stars(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("a", "b").distinct())
     seen = _print(edges)
     while seen[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        old, edges = edges, cut(_small_star(_large_star(edges)))
+        forget(old)
         if (now := _print(edges)) == seen:
             break
         seen = now

@@ -8,10 +8,12 @@ are then compared by the sets of those shingles, and only pairs alike make group
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conjunx.llm import covering
@@ -19,8 +21,9 @@ from conjunx.llm.common import cut, mapped, pick, session_parts, small, table, u
 from conjunx.llm.components import stars
 
 SEED = 42
-#: Bins of a sketch, a byte each; 0 is an empty bin.
-BINS = 256
+#: Words whose bits are summed together.
+TOGETHER = 1 << 17
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A component of more shingles is split into parts, and every pair of parts is looked at by itself.
 PART_SHINGLES = 2_000_000
 #: Ids of copies are broadcast up to this number of rows, some 80 MB.
@@ -65,29 +68,42 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def weighted(h: np.ndarray, weights: np.ndarray, seeds: int) -> list[int]:
-    """Fingerprints of weighted features, one for each seed: a bit is 1 if over half of the weight sets it."""
-    half, out = weights.sum() / 2, []
+def weighted(texts: list[bytes], seeds: int) -> np.ndarray:
+    """Of each text ``seeds`` fingerprints of its words, weighted by 1 + log(count): a bit is 1 if over half of the
+    weight sets it.  Weights are whole thousandths, so that sums do not depend on their order."""
+    number: dict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    sizes, flat = [], []
+    for t in texts:
+        words = t.lower().split()
+        sizes.append(len(words))
+        flat.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+    out = np.zeros((len(texts), seeds), np.int64)
+    if not number:
+        return out
+    pair, count = np.unique(np.repeat(np.arange(len(texts)), sizes) * len(number) + np.concatenate(flat), return_counts=True)
+    owner, word = pair // len(number), pair % len(number)
+    weight = np.rint(1000 * (1 + np.log(count))).astype(np.int64)
+    cuts = [0]  # texts are taken together up to so many words
+    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    for at in starts[1:].tolist():
+        if at - cuts[-1] >= TOGETHER:
+            cuts.append(at)
+    h = hashes(list(number))
     for seed in range(seeds):
-        total = np.zeros(64)
-        for k in range(0, len(h), 65536):
-            total += weights[k : k + 65536] @ _bits(_mixed(h[k : k + 65536], seed)).astype(np.float32)
-        out.append(int(np.packbits(total > half).view(">u8")[0].astype(np.uint64).view(np.int64)))
+        sign = _bits(_mixed(h, seed)).astype(np.int8) * 2 - 1
+        for low, high in zip(cuts, [*cuts[1:], len(pair)], strict=True):
+            own = starts[(starts >= low) & (starts < high)]
+            total = np.zeros((len(own), 64), np.int64)
+            for k in range(low, high, TOGETHER):  # a text of more words comes piece by piece
+                stop = min(k + TOGETHER, high)
+                inside = np.unique(np.maximum(own[np.searchsorted(own, k, side="right") - 1 : np.searchsorted(own, stop)], k))
+                first = np.searchsorted(own, k, side="right") - 1
+                total[first : first + len(inside)] += np.add.reduceat(sign[word[k:stop]] * weight[k:stop, None], inside - k)
+            out[owner[own], seed] = np.packbits(total > 0, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
     return out
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """A bin for each shingle; in each bin a byte, 1 to 255, of its smallest hash."""
-    out = np.zeros(BINS, np.uint8)
-    if len(h):
-        m = _mixed(h, 77)
-        m = np.sort(m)  # bins are the high bits: in each the first is the smallest
-        where = (m >> np.uint64(56)).astype(np.int64)
-        first = np.concatenate(([True], where[1:] != where[:-1]))
-        out[where[first]] = 1 + _mixed(m[first], 5) % np.uint64(255)
-    return out.tobytes()
-
-
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """doc_id, fp (signed 64-bit SimHash of the text's shingles of ``size`` words).  A null text has no words."""
 
@@ -118,23 +134,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return docs.join(of, F.col("fp") == F.col("key")).select("doc_id", "fp", "component_id")
 
 
+def word_key(text: Column) -> Column:
+    """A digest of the text's lower-cased (A-Z) word sequence; null for none."""
+    words = F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[\x20\x09-\x0D]+", " "))
+    return F.unhex(F.md5(F.nullif(words, F.lit("")).cast("binary")))
+
+
 def _features(docs: DataFrame, seeds: int) -> DataFrame:
-    """node, whole (a digest of the lower-cased word sequence) and fps of each document."""
-    kind = docs.schema["node"].dataType.simpleString()
+    """doc_id, whole and fps of each document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in small(batches):
-            wholes, fps = [], []
-            for t in utf8(batch.column("text")):
-                words = (t or b"").lower().split()
-                wholes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                names = {}
-                for w in words:
-                    names[w] = names.get(w, 0) + 1
-                fps.append(weighted(hashes(list(names)), 1 + np.log(np.fromiter(names.values(), np.float32, len(names))), seeds))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(wholes, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["node", "whole", "fps"])
+            fps = weighted(utf8(batch.column("text")), seeds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("whole"), pa.array(list(fps), pa.list_(pa.int64()))], names=["doc_id", "whole", "fps"])
 
-    return mapped(docs, run, f"node {kind}, whole binary, fps array<long>")
+    return mapped(docs, run, f"doc_id {kind}, whole binary, fps array<long>")
 
 
 def _forest(sets: list[np.ndarray], nodes: list[int], similarity: float) -> list[tuple[int, int]]:
@@ -181,24 +196,33 @@ def _forest(sets: list[np.ndarray], nodes: list[int], similarity: float) -> list
     return out
 
 
-def _verified(links: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b), a > b: among the nodes that ``links`` connect, pairs whose sets of shingles have a Jaccard similarity
     of at least ``similarity``, enough to connect all that such pairs connect.
 
     Every pair of a component counts, not the links alone: these are a forest for the fingerprints, and a pair
     alike may be joined in it over a third node that is like neither.  A component of more than
-    ``PART_SHINGLES`` shingles is split into parts, and each pair of parts is looked at by itself."""
+    ``PART_SHINGLES`` shingles is split into parts, and each pair of parts is looked at by itself.
+    ``nodes``: node, whole, least (its least id); ``docs``: doc_id, whole, text."""
     roots = stars(links)
-    members = cut(roots.toDF("id", "component").unionAll(roots.select("b", "b")).distinct())
+    members = roots.toDF("id", "component").unionAll(roots.select("b", "b")).distinct()
+    members = cut(members.join(nodes.select("node", F.col("whole").alias("w"), "least"), F.col("id") == F.col("node")).select("component", "node", "w", "least"))
     members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
     def shingled(batches):
+        seen = set()
         for batch in small(batches):
-            sets = [np.unique(hashes(shingles(t or b"", size))).view(np.int64) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["component", "node", "set"])
-
-    found = docs.join(members, F.col("node") == F.col("id")).select("component", "node", "text")
-    sets = cut(mapped(found, shingled, "component long, node long, set array<long>").where(F.size("set") > 0))
+            rows, sets = [], []
+            for row, (node, t) in enumerate(zip(batch.column("node").to_pylist(), utf8(batch.column("text")), strict=True)):
+                if node not in seen:  # rows equal in id and words
+                    seen.add(node)
+                    rows.append(row)
+                    sets.append(np.unique(hashes(shingles(t, size))).view(np.int64))
+            keep = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("component").take(keep), batch.column("node").take(keep), pa.array(sets, pa.list_(pa.int64()))], names=["component", "node", "set"])
+
+    found = docs.join(members, (F.col("whole") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("component", "node", "text")
+    sets = cut(mapped(found, shingled, "component long, node long, set array<long>"))
     parts = sets.groupBy("component").agg(F.ceil(F.sum(F.size("set")) / PART_SHINGLES).cast("long").alias("parts")).withColumnRenamed("component", "c")
     rows = sets.join(parts, F.col("component") == F.col("c"))
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
@@ -217,6 +241,8 @@ def _verified(links: DataFrame, docs: DataFrame, size: int, similarity: float) -
 
         for batch in small(batches, 500):
             for *group, name, own in zip(*(batch.column(c).to_pylist() for c in (*keys, "node")), batch.column("set"), strict=True):
+                if group == at and names[-1] == name:
+                    continue  # again, from another task
                 if group != at:
                     yield from give()
                     at, held, names = group, [], []
@@ -227,31 +253,59 @@ def _verified(links: DataFrame, docs: DataFrame, size: int, similarity: float) -
     return mapped(rows, run, "a long, b long")
 
 
+def _groups(docs: DataFrame, size: int, similarity: float, seeds: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``docs``: doc_id, text, whole.  Their doc_id and whole; and (w, kept, keeper): by whole, the whole and the id of the group's row
+    that stays."""
+    docs = docs.where("whole is not null")
+    rows = cut(_features(docs, seeds))
+    first = rows.groupBy("whole").agg(F.min("doc_id").alias("least"), F.any_value("fps").alias("fps"))
+    nodes = cut(first.withColumn("node", F.monotonically_increasing_id()))  # numbers hold once they are written
+    found = covering.links(nodes.select("node", F.col("fps").alias("fp")), radius)
+    roots = stars(_verified(found, nodes, docs, size, similarity))
+    rooted = cut(nodes.join(roots, F.col("node") == F.col("a"), "left").select("whole", "least", F.coalesce("b", "node").alias("root")))
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("least").alias("none"), "least", "whole")).alias("s")).withColumnRenamed("root", "r")
+    return rows.select("doc_id", "whole"), rooted.join(kept, F.col("root") == F.col("r")).select(F.col("whole").alias("w"), F.col("s.whole").alias("kept"), F.col("s.least").alias("keeper"))
+
+
 def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, seeds: int = 6, radius: int = 3) -> DataFrame:
-    """doc_id, keeper: of documents whose shingles of ``size`` words have a Jaccard similarity of at least
-    ``similarity``, linked to groups, each id with its group's smallest; ids that are keepers are left out.
+    """doc_id, keeper, distinct: of documents whose shingles of ``size`` words have a Jaccard similarity of at least
+    ``similarity``, linked to groups, each id with its group's smallest; keepers with themselves are left out.
 
-    Equal word sequences (ASCII case aside) are one node.  A text without words has no copies, nor has a row
-    without id; rows with equal ids stay or go together.  Similarities are computed from the texts.
+    Ids are of any type that has an order.  Equal word sequences (ASCII case aside) are one node.  A text without
+    words has no copies.  A null id is no keeper unless all ids of its group are null.  Similarities are computed
+    from the texts.  Rows of one word sequence, or of one group, may be any share of all: they meet in joins that
+    adaptive execution splits and in aggregations that combine before the shuffle.
     """
-    texts = pick(docs, node=doc_id, text=text).where("node is not null").withColumn("node", F.col("node").cast("long"))
-    rows = cut(_features(texts, seeds).where(F.col("whole") != F.lit(xxhash.xxh3_128_digest(b""))))
-    first = rows.groupBy("whole").agg(F.min_by(F.struct("node", "fps"), "node").alias("s"))
-    nodes = cut(first.select("whole", "s.node", "s.fps"))
-    found = covering.links(nodes.select("node", F.col("fps").alias("fp")), radius)
-    roots = stars(_verified(found, texts, size, similarity))
-    keepers = nodes.join(roots, F.col("node") == F.col("a"), "left").select(F.col("whole").alias("w"), F.coalesce("b", "node").alias("keeper"))
-    return rows.join(keepers, F.col("whole") == F.col("w")).where("node <> keeper").select("node", "keeper").distinct()
+    rows, groups = _groups(pick(docs, doc_id=doc_id, text=text).withColumn("whole", word_key(F.col("text"))), size, similarity, seeds, radius)
+    return rows.join(groups, F.col("whole") == F.col("w")).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "keeper").distinct()
+
 
+def drop_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, seeds: int = 6, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of ``copies``: one of its smallest id.
 
-def drop_copies(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents of which a near copy with a smaller id is kept."""
+    Rows are told apart by id and word sequence, also those with equal or null ids; of rows equal in both the one
+    whose text comes first stays.  Texts without words stay, all of them.  No rows in, no rows out."""
     own = docs.columns
-    plain, key = docs.toDF(*(f"c{k}" for k in range(len(own)))), f"c{own.index(doc_id)}"
-    gone = cut(copies(docs, doc_id=doc_id, **options).select(F.col("node").alias("gone")))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)  # else texts are shuffled
-    return plain.join(gone, plain[key] == F.col("gone"), "left_anti").toDF(*own)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(own))))
+    key, body = f"c{own.index(doc_id)}", f"c{own.index(text)}"
+    plain = plain.withColumn("whole", word_key(F.col(body)))
+    rows, groups = _groups(plain.select(F.col(key).alias("doc_id"), F.col(body).alias("text"), "whole"), size, similarity, seeds, radius)
+    joined = rows.join(groups, F.col("whole") == F.col("w"))
+    stays = (F.col("whole") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("keeper"))
+    # of all rows but the single ones that stay: how many rows there are, and whether one of them stays
+    listed = joined.groupBy(F.col("doc_id").alias("id"), F.col("whole").alias("w")).agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    listed = cut(listed.select("id", "w", "stays"))
+    same = (F.col("whole") == F.col("w")) & F.col(key).eqNullSafe(F.col("id"))
+    few = listed.count() <= BROADCAST_ROWS
+    known = F.broadcast(listed) if few else listed  # else texts are shuffled
+    out = plain.join(known, same, "left_anti").drop("whole")
+    again = listed.where("stays")
+    if again.isEmpty():
+        return out.toDF(*own)
+    again = F.broadcast(again) if few else again
+    columns = [body, *(c for c in plain.columns if c not in (body, "whole"))]
+    many = plain.join(again, same, "left_semi").groupBy(key, "whole").agg(F.min_by(F.struct(*columns), body).alias("s"))
+    return out.unionAll(many.select(*(F.col(f"s.{c}") for c in out.columns))).toDF(*own)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
+import hashlib
+import math
 import random
 import re
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from conjunx.llm import covering, simhash
 from conjunx.llm.components import stars
@@ -141,7 +144,7 @@ def test_copies(frame):
     df = frame(rows, clash=True)
     got = simhash.drop_copies(df)
     assert got.columns == df.columns
-    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([7, *range(100, 130), 1, 2, 3, None], key=str)
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([7, *range(100, 130), 1, 2, 3], key=str)
     assert all(jaccard(rows[0][1], " ".join(t)) > 0.9 for t in edited)
     assert simhash.drop_copies(frame([])).count() == 0
 
@@ -170,20 +173,55 @@ def test_copies_recall(spark):
     alike = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in pairs}
     must = {b for (_, b), j in alike.items() if j >= 0.8}
     may_pairs = [p for p, j in alike.items() if j >= 0.8]
-    gone = {r.node for r in simhash.copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = {r.doc_id for r in simhash.copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert len(gone & must) >= 0.9 * len(must) and gone <= joined(may_pairs)
 
 
-def test_sketch_estimates_similarity():
-    draw = np.random.default_rng(4)
-    for share in (0.5, 0.8, 0.95):
-        got = []
-        for _ in range(20):
-            h = draw.integers(0, 2**63, 4000).astype(np.uint64)
-            n = int(2000 * (1 - share) / (1 + share))
-            a, b = (np.frombuffer(simhash.sketch(x), np.uint8) for x in (h[:2000], np.concatenate((h[n:2000], h[2000 : 2000 + n]))))
-            got.append(((a == b) & (a > 0)).sum() / ((a > 0) | (b > 0)).sum())
-        assert np.mean(got) == pytest.approx(share, abs=0.02)
+def plain_weighted(text, seeds):
+    """The fingerprints bit by bit."""
+    counts = {}
+    for w in text.lower().split():
+        counts[w] = counts.get(w, 0) + 1
+    out = []
+    for seed in range(seeds):
+        bits = 0
+        for k in range(64):
+            total = 0
+            for w, n in counts.items():
+                h = int(simhash._mixed(simhash.hashes([w]), seed)[0])
+                total += round(1000 * (1 + math.log(n))) * (1 if h >> k & 1 else -1)
+            bits |= (total > 0) << k
+        out.append(bits)
+    return out
+
+
+@pytest.mark.parametrize("together", [3, simhash.TOGETHER])
+def test_weighted_against_a_loop(monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    draw = random.Random(6)
+    texts = [" ".join(draw.choices("abcdefgh", k=n)).encode() for n in (0, 1, 2, 9, 40, 0, 5)] + ["é É é".encode()]
+    got = simhash.weighted(texts, 2).view(np.uint64).tolist()
+    assert got == [plain_weighted(t, 2) for t in texts]
+    assert simhash.weighted([b"", b" "], 3).tolist() == [[0] * 3] * 2
+
+
+def test_word_key_is_of_the_words(spark):
+    texts = [None, "", " \t\r\n\x0b\x0c", "a B", " A\tb ", "a\x0bb\x0c", "ab", "a\u00a0b", "\u00c9 x", "\u00e9 x"]
+    got = [r.k for r in spark.createDataFrame([(t,) for t in texts], "t string").select(simhash.word_key(F.col("t")).alias("k")).collect()]
+    want = [None if not (w := (t or "").encode().lower().split()) else hashlib.md5(b" ".join(w)).digest() for t in texts]
+    assert [k and bytes(k) for k in got] == want
+
+
+def test_copies_with_any_ids(frame):
+    """Ids that are text, null or repeated: of each group one row stays."""
+    draw = random.Random(8)
+    text = [f"w{draw.randint(0, 10**6)}" for _ in range(300)]
+    near = " ".join([*text[:100], "x", *text[101:]])
+    text = " ".join(text)
+    rows = [("b", text), ("a10", near), ("a10", near.upper()), ("a9", "other words"), ("a9", text), (None, near), (None, "no id here"), (None, "no id  HERE"), (None, None), (None, None), ("c", "other words")]
+    df = frame(rows, kind="doc_id string, text string, lang string, source string", clash=True)
+    assert sorted(((str(r.doc_id), r.text) for r in simhash.drop_copies(df).collect()), key=str) == sorted([("a10", near.upper()), ("a9", "other words"), ("None", "no id  HERE"), ("None", None), ("None", None)], key=str)
+    assert {(r.doc_id, r.keeper) for r in simhash.copies(df).collect()} == {("b", "a10"), ("a9", "a10"), (None, "a10"), ("c", "a9")}
 
 
 @pytest.mark.parametrize("part", [simhash.PART_SHINGLES, 5000])
@@ -204,7 +242,7 @@ def test_members_less_alike_than_their_base(frame, monkeypatch, part):
     assert jaccard(" ".join(base), members[0]) > 0.8 > jaccard(members[0], members[-1])
     apart = [" ".join(draw.sample(base, len(base))) for _ in range(20)]
     rows = [(k, t) for k, t in enumerate(apart + members)] + [(100_000, " ".join(base))]
-    gone = {r.node for r in simhash.copies(frame(rows)).collect()}
+    gone = {r.doc_id for r in simhash.copies(frame(rows)).collect()}
     assert gone == {*range(21, len(rows) - 1), 100_000}
 
 
