@@ -21,8 +21,8 @@ from conjunx.llm.common import cut, mapped, pick, session_parts, small, table, u
 from conjunx.llm.components import stars
 
 SEED = 42
-#: Words whose bits are summed together.
-TOGETHER = 1 << 17
+#: Words whose bits are summed together, few enough for exact sums in single precision.
+TOGETHER = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A component of more shingles is split into parts, and every pair of parts is looked at by itself.
 PART_SHINGLES = 2_000_000
@@ -70,7 +70,7 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
 
 def weighted(texts: list[bytes], seeds: int) -> np.ndarray:
     """Of each text ``seeds`` fingerprints of its words, weighted by 1 + log(count): a bit is 1 if over half of the
-    weight sets it.  Weights are whole thousandths, so that sums do not depend on their order."""
+    weight sets it.  Weights are whole sixteenths, so that sums are exact in any order."""
     number: dict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
     sizes, flat = [], []
@@ -83,24 +83,16 @@ def weighted(texts: list[bytes], seeds: int) -> np.ndarray:
         return out
     pair, count = np.unique(np.repeat(np.arange(len(texts)), sizes) * len(number) + np.concatenate(flat), return_counts=True)
     owner, word = pair // len(number), pair % len(number)
-    weight = np.rint(1000 * (1 + np.log(count))).astype(np.int64)
-    cuts = [0]  # texts are taken together up to so many words
-    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    for at in starts[1:].tolist():
-        if at - cuts[-1] >= TOGETHER:
-            cuts.append(at)
+    weight = np.rint(16 * (1 + np.log(count))).astype(np.float32)
     h = hashes(list(number))
-    for seed in range(seeds):
-        sign = _bits(_mixed(h, seed)).astype(np.int8) * 2 - 1
-        for low, high in zip(cuts, [*cuts[1:], len(pair)], strict=True):
-            own = starts[(starts >= low) & (starts < high)]
-            total = np.zeros((len(own), 64), np.int64)
-            for k in range(low, high, TOGETHER):  # a text of more words comes piece by piece
-                stop = min(k + TOGETHER, high)
-                inside = np.unique(np.maximum(own[np.searchsorted(own, k, side="right") - 1 : np.searchsorted(own, stop)], k))
-                first = np.searchsorted(own, k, side="right") - 1
-                total[first : first + len(inside)] += np.add.reduceat(sign[word[k:stop]] * weight[k:stop, None], inside - k)
-            out[owner[own], seed] = np.packbits(total > 0, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
+    bits = np.concatenate([_mixed(h, seed).astype(">u8").view(np.uint8).reshape(-1, 8) for seed in range(seeds)], axis=1)
+    ends = np.flatnonzero(np.concatenate((owner[1:] != owner[:-1], [True]))) + 1
+    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        total = np.zeros(64 * seeds)
+        for k in range(start, end, TOGETHER):
+            piece = slice(k, min(k + TOGETHER, end))
+            total += weight[piece] @ np.unpackbits(bits[word[piece]], axis=1).astype(np.float32)
+        out[owner[start]] = np.packbits(2 * total > weight[start:end].sum(dtype=np.float64)).view(">u8").astype(np.uint64).view(np.int64)
     return out
 
 

@@ -189,7 +189,7 @@ def plain_weighted(text, seeds):
             total = 0
             for w, n in counts.items():
                 h = int(simhash._mixed(simhash.hashes([w]), seed)[0])
-                total += round(1000 * (1 + math.log(n))) * (1 if h >> k & 1 else -1)
+                total += round(16 * (1 + math.log(n))) * (1 if h >> k & 1 else -1)
             bits |= (total > 0) << k
         out.append(bits)
     return out
