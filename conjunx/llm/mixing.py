@@ -1,66 +1,54 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree over permuted blocks.
 
-Every source is dealt into ``BLOCKS`` blocks by a hash of its documents' ids.  A source's target is drawn in
-passes: whole passes over all its blocks, then blocks in a permuted order until the target is reached; the
-block that crosses it gives documents in hash order, and the document that crosses it gives its first words.
-The blocks so drawn are a source's quota; a tree splits all quotas at once, halving the shards at each level
-by a multivariate-hypergeometric draw, so that each shard gets its exact number of blocks of every source.
-Draws are disjoint: the ranks of a source's permuted blocks are cut at the shards' cumulated quotas.
-
-All row work is DataFrame functions.  The driver holds (sources x shards) quotas, in chunks of sources; no rows.
-A source of any share of the rows is spread over its blocks before rows of it meet in a task.
+Every source is dealt into blocks by a hash of its documents, more blocks the more words it has.  A source's
+target is drawn in passes: whole passes over all its blocks, then blocks until the target is reached.  The
+blocks so drawn are the source's quota; a tree splits all quotas at once, halving the shards at each level by a
+multivariate-hypergeometric draw, so that each shard gets an exact number of blocks of every source.  A source's
+blocks are permuted by a hash of the seed, the source and the block; each shard draws its number of them from where the last
+one ended, so draws are disjoint, and what a document gives is the sum over the shards' draws of its block.
+Inside a shard documents are shuffled by a hash.
+
+The block that crosses a source's target gives documents in hash order, and the document that crosses it its
+first words.  Block sizes come from partial sums; the driver holds (sources x shards) quotas, in chunks of
+sources, and no rows.  Windows run over sources (one row each) and over the blocks of one source.
 """
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from conjunx.llm.common import cut, pick, table
 
-BLOCKS = 1024
+#: Blocks of a source: 2 to the power of BITS, more where a block would have more than BLOCK_WORDS words.
+BITS, MOST_BITS, BLOCK_WORDS = 10, 30, 4_000_000
 SHARDS = 16
 WEIGHTS = (5, 2, 1)
-#: Sources whose quotas are split at once on the driver.
-CHUNK = 50_000
-#: The permuted order of blocks: rank = (STEP * block + START) mod BLOCKS; STEP is odd.
-STEP, START = 421, 97
+#: Sources and blocks whose quotas are split at once on the driver.
+CHUNK, CHUNK_BLOCKS = 50_000, 500_000_000
+#: Words of a shard that are sorted in one task.
+SLICE_WORDS = 10_000_000
+#: Tables of blocks and of sources are broadcast up to this number of rows, some 50 MB; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
 
 _SPACE = r"[^\x20\x09-\x0D]+"
-
-
-def _hypergeometric(draw: random.Random, good: int, bad: int, n: int) -> int:
-    """How many of ``n`` balls drawn from ``good`` and ``bad`` ones are good."""
-    if n > (good + bad) // 2:
-        return good - _hypergeometric(draw, good, bad, good + bad - n)
-    got = 0
-    for _ in range(n):
-        if draw.random() * (good + bad) < good:
-            got, good = got + 1, good - 1
-        else:
-            bad -= 1
-    return got
+_DRAWS = "array<struct<pass:int,shard:int,part:boolean>>"
 
 
 def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     """For each shard the number of blocks of each source: columns sum to ``quotas``, rows differ by few blocks."""
-    draw = random.Random(seed)
+    draw = np.random.default_rng(seed)
 
-    def part(have: list[int], k: int) -> list[list[int]]:
+    def part(have: np.ndarray, k: int) -> list[np.ndarray]:
         if k == 1:
             return [have]
-        left, rest, total = [], sum(have) * (k // 2) // k, sum(have)
-        for n in have:
-            total -= n
-            left.append(got := _hypergeometric(draw, n, total, rest))
-            rest -= got
-        return part(left, k // 2) + part([n - x for n, x in zip(have, left, strict=True)], k - k // 2)
+        left = draw.multivariate_hypergeometric(have, int(have.sum()) * (k // 2) // k, method="marginals")
+        return part(left, k // 2) + part(have - left, k - k // 2)
 
-    return part(quotas, shards)
+    return [x.tolist() for x in part(np.array(quotas, np.int64), shards)]
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -81,149 +69,133 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return by.select("source", "source_size", F.least("cap", highest * F.col("w")).alias("target"))
 
 
-def _shards(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
-    """source, ends: after how many of its drawn blocks each shard's part of a source ends."""
+def _ends(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+    """s, ends: after how many of a source's drawn blocks each shard's part of them ends."""
     spark = blocks.sparkSession
-    quotas = blocks.groupBy("source").agg(F.sum(F.col("full") + F.col("part").cast("long")).alias("n"))
-    quotas = quotas.withColumn("chunk", F.floor((F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) / CHUNK))
-    rows, chunk, out = quotas.orderBy("chunk", F.col("source").asc_nulls_last()).toLocalIterator(), [], None
-    kind = T.StructType([T.StructField("source", T.StringType()), T.StructField("ends", T.ArrayType(T.LongType()))])
-
-    def done(have: list, out: DataFrame | None) -> DataFrame:
-        each, ends = split_quotas([r.n for r in have], shards, seed), []
-        for k, r in enumerate(have):
-            n, to = 0, []
-            for shard in each:
-                n += shard[k]
-                to.append(n)
-            ends.append((r.source, to))
-        df = spark.createDataFrame(ends, kind)
+    quotas = blocks.groupBy("source").agg(F.sum(F.col("full") + (F.col("left") > 0).cast("long")).alias("n"))
+    kind = T.StructType([T.StructField("s", T.StringType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+    out, have, total = None, [], 0
+
+    def done() -> DataFrame:
+        to = np.cumsum(np.array(split_quotas([r.n for r in have], shards, seed), np.int64), axis=0).T.tolist()
+        df = spark.createDataFrame([(r.source, ends) for r, ends in zip(have, to, strict=True)], kind)
         return df if out is None else out.unionAll(df)
 
-    for r in rows:
-        if chunk and r.chunk != chunk[0].chunk:
-            out, chunk = done(chunk, out), []
-        chunk.append(r)
-    return done(chunk, out) if chunk or out is None else out
+    for r in quotas.orderBy(F.col("source").asc_nulls_last()).toLocalIterator():
+        if have and (len(have) == CHUNK or total + r.n > CHUNK_BLOCKS):
+            out, have, total = done(), [], 0
+        have.append(r)
+        total += r.n
+    return done() if have or out is None else out
+
+
+def _sized(docs: DataFrame, doc_id: str, source: str, text: str, seed: int) -> DataFrame:
+    """``docs`` with _source, _size, and _mark, a hash of id and text that deals rows to blocks and orders them."""
+    size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(_SPACE)), F.lit(0)).cast("long")
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    mark = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(str(seed)), digest).cast("binary"))
+    return docs.withColumns({"_source": F.col(source).cast("string"), "_size": size, "_mark": mark})
+
+
+def _known(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its size is within the bound."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+class _Plan:
+    """What the mix draws of each block: sources, blocks, and how to join them to rows of ``_sized``."""
+
+    def __init__(self, sized: DataFrame, weights: tuple[int, ...], share: float, most: float, shards: int, seed: int):
+        sources = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("size"))
+        goal = targets(sources, weights, share, most)
+        bits = F.greatest(F.lit(BITS), F.least(F.lit(MOST_BITS), F.ceil(F.log2(F.greatest(F.col("source_size"), F.lit(1)) / F.lit(BLOCK_WORDS)))))
+        self.sources = _known(goal.select(F.col("source").alias("_s"), "source_size", "target", bits.cast("int").alias("_bits")))
+        placed = self._placed(sized.where("_size > 0"))
+        blocks = placed.groupBy(F.col("_source").alias("source"), F.col("_block").alias("block"), "source_size", "target").agg(F.sum("_size").alias("block_size"))
+        shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"), F.col("block").cast("string")).cast("binary"))
+        order = W.partitionBy("source").orderBy("rank", "block")
+        blocks = (
+            blocks.withColumn("rank", shuffled)
+            .withColumn("upto", F.sum("block_size").over(order))
+            .withColumn("filled", F.row_number().over(order))
+            .withColumn("n_blocks", F.count("*").over(W.partitionBy("source")))
+            .withColumn("full", F.expr("cast(floor(target) as bigint) div source_size"))
+            .withColumn("left", F.floor("target") - F.col("full") * F.col("source_size") - (F.col("upto") - F.col("block_size")))
+        )
+        blocks = cut(blocks.select("source", "block", "block_size", "full", "left", "filled", "n_blocks"))
+        ends = _ends(blocks, shards, seed)
+        drawn = blocks.join(ends, F.col("source").eqNullSafe(F.col("s")))
+
+        def draw(k, part):
+            number = k * F.col("n_blocks") + F.col("filled") - 1
+            return F.struct(k.cast("int").alias("pass"), F.size(F.filter("ends", lambda e: e <= number)).alias("shard"), part.alias("part"))
+
+        passes = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("full"), F.lit(1)) - 1), lambda k: draw(k, F.lit(False)))).otherwise(F.array().cast(_DRAWS))
+        last = F.when(F.col("left") > 0, F.array(draw(F.col("full"), F.col("left") < F.col("block_size")))).otherwise(F.array().cast(_DRAWS))
+        drawn = drawn.select("source", "block", F.concat(passes, last).alias("_draws"))
+        self.blocks = _known(self._crossing(placed, blocks, drawn))
+
+    @staticmethod
+    def _crossing(placed: DataFrame, blocks: DataFrame, drawn: DataFrame) -> DataFrame:
+        """The blocks' draws, with where a block that its source's target crosses is cut: its last row's mark, and the words that this row gives."""
+        crossed = blocks.where("left > 0 and left < block_size").select(F.col("source").alias("s"), F.col("block").alias("b"), "left")
+        rows = placed.join(F.broadcast(crossed) if crossed.count() <= BROADCAST_ROWS else crossed, F.col("_source").eqNullSafe(F.col("s")) & (F.col("_block") == F.col("b")))
+        marks = rows.groupBy("s", "b", "left", "_mark").agg(F.sum("_size").alias("size"), F.count("*").alias("n"))
+        marks = marks.withColumn("upto", F.sum("size").over(W.partitionBy("s", "b").orderBy("_mark")))
+        at = marks.where("upto >= left and upto - size < left").select("s", "b", F.col("_mark").alias("_cut"), F.expr("(left - (upto - size)) div n").alias("_words"))
+        same = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+        return drawn.join(at, same, "left").select(F.col("source").alias("_s"), F.col("block").alias("_b"), "_draws", "_cut", "_words")
+
+    def _placed(self, sized: DataFrame) -> DataFrame:
+        block = F.expr("shiftright(cast(conv(substring(_mark, 1, 8), 16, 10) as bigint), 32 - _bits)")
+        return sized.join(self.sources, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", block).drop("_s", "_bits")
+
+    def drawn(self, sized: DataFrame, seed: int) -> DataFrame:
+        """``sized`` with source_size, target and draws."""
+        rows = self._placed(sized).join(self.blocks, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")) & (F.col("_size") > 0), "left")
+        part = F.when(F.col("_mark") < F.col("_cut"), F.col("_size")).when(F.col("_mark") == F.col("_cut"), F.col("_words")).otherwise(F.lit(0).cast("long"))
+        place = lambda d: F.xxhash64(F.lit(seed), d["shard"], d["pass"], F.col("_mark"))
+        draws = F.transform("_draws", lambda d: F.struct(d["pass"].alias("pass"), F.when(d["part"], part).otherwise(F.col("_size")).alias("words"), d["shard"].alias("shard"), place(d).alias("position")))
+        draws = F.coalesce(F.filter(draws, lambda d: d["words"] > 0), F.array())
+        return rows.withColumn("draws", draws).drop("_s", "_b", "_block", "_draws", "_cut", "_words")
 
 
 def draws(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """Per document: doc_id, size, source_size, target and draws, an array of (pass, words, shard, position):
-    the times the mix draws it, how many of its first words each takes, and the place in its shard.
+    the times the mix draws it, how many of its first words each takes, its shard and the order in that.
 
     Sizes count runs of characters other than space and \\x09-\\x0D; a null text has size 0 and is never drawn,
-    nor is an empty one.  A null source is a source of its own; a null id hashes as the text "null".  Documents
-    with equal ids share a block and are drawn in order of size.  No rows in, no rows out.  The taken words of
-    a source sum to floor(target); reruns agree.
+    nor is an empty one.  A null source is a source of its own.  Rows are told apart by id and text; rows equal in both
+    are drawn alike, and where the target crosses them each gives as many first words.  No rows in, no rows out.
+    The taken words of a source sum to floor(target), but for less than the number of rows equal to the last one
+    drawn.  Reruns agree.
     """
-    rows = _drawn(docs, doc_id, source, text, weights, share, most, shards, seed)
-    return rows.select("doc_id", "size", "source_size", "target", "draws")
-
-
-def _row_key(text: Column) -> Column:
-    """Tells texts of one id apart."""
-    return F.xxhash64(text.cast("string"))
-
-
-def _drawn(docs: DataFrame, doc_id: str, source: str, text: str, weights: tuple[int, ...], share: float, most: float, shards: int, seed: int) -> DataFrame:
-    """``draws`` with source and row, the row key of the text."""
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(_SPACE)), F.lit(0)).cast("long")
-    mark = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
-    sized = cut(pick(docs, doc_id=doc_id, source=source, text=text).select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), mark.alias("mark"), _row_key(F.col("text")).alias("row")))
-    block = F.pmod(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long"), F.lit(BLOCKS))
-    sized = sized.withColumn("block", block)
-    blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
-    goal = targets(blocks.select("source", F.col("block_size").alias("size")), weights, share, most)
-    order = W.partitionBy("source").orderBy("rank")
-    blocks = (
-        blocks.withColumn("rank", F.pmod(F.lit(STEP) * F.col("block") + F.lit(START), F.lit(BLOCKS)))
-        .withColumn("upto", F.sum("block_size").over(order))
-        .withColumn("filled", F.row_number().over(order))
-        .withColumn("n_blocks", F.count("*").over(W.partitionBy("source")))
-        .join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("goal", F.floor("target"))
-        .withColumn("full", F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0)).cast("long"))
-        .withColumn("left", F.col("goal") - F.col("full") * F.col("source_size") - (F.col("upto") - F.col("block_size")))
-        .withColumn("part", (F.col("left") > 0) & (F.col("block_size") > 0))
-    )
-    blocks = cut(blocks.select("source", "block", "source_size", "target", "full", "left", "part", "filled", "n_blocks"))
-    ends = _shards(blocks, shards, seed)
-    per_block = blocks.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    per_block = per_block.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "full", "left", "part", "filled", "n_blocks", "ends")
-    rows = sized.join(per_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    within = W.partitionBy("source", "block").orderBy("mark", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("room", F.col("left") - F.coalesce(F.sum("size").over(within), F.lit(0)))
-    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("room")))
-
-    def drawn(k, n):
-        number = k.cast("long") * F.col("n_blocks") + F.col("filled") - 1
-        shard = F.size(F.filter("ends", lambda e: e <= number))
-        return F.struct(k.cast("int").alias("pass"), n.alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed), shard, k.cast("int"), F.col("mark")).alias("position"))
-
-    whole = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("full"), F.lit(1)) - 1), lambda k: drawn(k, F.col("size")))).otherwise(F.array())
-    last = F.when(extra > 0, F.array(drawn(F.col("full"), extra))).otherwise(F.array())
-    both = F.filter(F.concat(whole, last), lambda d: d["words"] > 0)
-    return rows.select("doc_id", "source", "row", "size", "source_size", "target", both.alias("draws"))
+    sized = cut(_sized(pick(docs, doc_id=doc_id, source=source, text=text), "doc_id", "source", "text", seed).drop("text", "source"))
+    found = _Plan(sized, weights, share, most, shards, seed).drawn(sized, seed)
+    return found.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "draws")
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """``docs`` as mixed: a row for each draw, with the columns of ``docs`` and mix_pass, mix_words, mix_shard and
-    mix_position, the order inside its shard.  Documents that no shard draws are left out.  Every row gets its own
-    draws: rows with a null id or with equal ids are told apart by source and text, and equal ones are numbered."""
+    mix_position, dealt to tasks by shard and sorted in it by mix_position; a shard of many words is several
+    tasks, one after another.  Documents that no shard draws are left out.  Every row gets its own draws,
+    whatever its id (``draws`` says which); texts are shuffled once."""
     own = docs.columns
-    plain = docs.toDF(*(f"c{k}" for k in range(len(own))))
-    key, of, body = (f"c{own.index(c)}" for c in (doc_id, source, text))
-    drawn = cut(_drawn(docs, doc_id, source, text, weights, share, most, shards, seed).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("row").alias("mix_row"), "draws"))
-    again = cut(drawn.where("mix_id is not null").groupBy("mix_id").count().where("count > 1").select(F.col("mix_id").alias("again")))
-    single = drawn.where("mix_id is not null").join(again, F.col("mix_id") == F.col("again"), "left_anti")
-    gives = [F.inline("draws").alias("mix_pass", "mix_words", "mix_shard", "mix_position")]
-    out = plain.join(single.where(F.size("draws") > 0), F.col(key) == F.col("mix_id")).select(*plain.columns, *gives)
-    if not again.isEmpty() or not drawn.where("mix_id is null").isEmpty():
-        rest = plain.join(again, F.col(key) == F.col("again"), "left_semi").unionAll(plain.where(F.col(key).isNull()))
-        rest = rest.withColumn("at_source", F.col(of).cast("string")).withColumn("at_row", _row_key(F.col(body)))
-        rest = rest.withColumn("at", F.row_number().over(W.partitionBy(key, "at_source", "at_row").orderBy(F.lit(0))))
-        many = drawn.where("mix_id is null").unionAll(drawn.join(again, F.col("mix_id") == F.col("again"), "left_semi"))
-        many = many.withColumn("mix_at", F.row_number().over(W.partitionBy("mix_id", "mix_source", "mix_row").orderBy(F.lit(0)))).where(F.size("draws") > 0)
-        same = F.col(key).eqNullSafe(F.col("mix_id")) & F.col("at_source").eqNullSafe(F.col("mix_source")) & (F.col("at_row") == F.col("mix_row")) & (F.col("at") == F.col("mix_at"))
-        out = out.unionAll(rest.join(many, same).select(*plain.columns, *gives))
-    return out.toDF(*own, *out.columns[len(own) :])
+    sized = _sized(docs.toDF(*(f"c{k}" for k in range(len(own)))), *(f"c{own.index(c)}" for c in (doc_id, source, text)), seed)
+    few = cut(sized.select("_source", "_size", "_mark"))
+    plan = _Plan(few, weights, share, most, shards, seed)
+    words = plan.sources.agg(F.sum("target")).first()[0] or 0.0
+    slices = max(1, int(np.ceil(words / shards / SLICE_WORDS)))
+    out = plan.drawn(sized, seed).select(*(f"c{k}" for k in range(len(own))), F.inline("draws").alias("mix_pass", "mix_words", "mix_shard", "mix_position"))
+    part = (F.col("mix_shard") * slices + F.floor((F.col("mix_position") / 2.0**64 + 0.5) * slices).cast("int")).cast("int")
+    out = out.withColumn("_part", F.least(part, F.lit(shards * slices - 1))).repartitionById(shards * slices, F.col("_part")).drop("_part")
+    return out.sortWithinPartitions("mix_shard", "mix_position").toDF(*own, "mix_pass", "mix_words", "mix_shard", "mix_position")
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
-    """Per document: its words, its source's words and target, and the words that the mix takes of it."""
+    """Per document: its words, its source's words and target, the words that the mix takes of it, and how many each
+    shard draws (shard:words by shard, comma-joined)."""
     rows = draws(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"))
-
-
-OP7_SQL = f"""
-WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':11') AS mark,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
-  FROM documents
-), placed AS (
-  SELECT *, CAST(('0x' || substr(mark, 1, 8)) AS BIGINT) % {BLOCKS} AS block FROM sized
-), sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-         CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS DOUBLE) AS w
-  FROM placed GROUP BY source
-), levels AS (
-  SELECT *, 2.0::DOUBLE * source_size AS cap,
-         (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-           / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM sources WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / w, source ASC NULLS LAST)
-), goals AS (
-  SELECT source, source_size, least(cap, (max(CASE WHEN level * w <= cap THEN level END) OVER ()) * w) AS target FROM levels
-), blocks AS (
-  SELECT source, block, CAST(sum(size) AS BIGINT) AS block_size, ({STEP} * block + {START}) % {BLOCKS} AS rank FROM placed GROUP BY source, block
-), started AS (
-  SELECT source, block, CAST(coalesce(sum(block_size) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM blocks
-), ordered AS (
-  SELECT doc_id, size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS goal,
-         b.before + CAST(coalesce(sum(size) OVER (PARTITION BY p.source, p.block ORDER BY mark, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
-  FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source
-  JOIN started b ON p.source IS NOT DISTINCT FROM b.source AND p.block = b.block
-), passes AS (
-  SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS n_passes FROM ordered
-)
-SELECT doc_id, size, source_size, target, CAST(n_passes * size + greatest(0, least(size, goal - n_passes * source_size - before)) AS BIGINT) AS taken FROM passes
-"""
+    each = F.transform(F.array_sort(F.transform("draws", lambda d: F.struct(d["shard"], d["pass"], d["words"]))), lambda d: F.concat_ws(":", d["shard"].cast("string"), d["words"].cast("string")))
+    return rows.select("doc_id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"), F.array_join(each, ",").alias("shards"))

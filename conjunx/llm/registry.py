@@ -5,7 +5,7 @@ from __future__ import annotations
 from conjunx.llm.decontaminate import OP5_SQL, op5_decontaminate
 from conjunx.llm.html_text import op8_text
 from conjunx.llm.language_id import op1_language
-from conjunx.llm.mixing import OP7_SQL, op7_mix
+from conjunx.llm.mixing import op7_mix
 from conjunx.llm.pii import op3_pii
 from conjunx.llm.simhash import op6_simhash
 from conjunx.llm.spotsigs import op9_fingerprint
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_urls": op10_urls,
 }
 
-SQL = {"op5_decontaminate": OP5_SQL, "op7_mix": OP7_SQL}
+SQL = {"op5_decontaminate": OP5_SQL}
