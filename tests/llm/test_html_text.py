@@ -12,8 +12,14 @@ PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><b
 <p>first!</p></article></section><p hidden>h</p><p style="display: none">h</p><footer>f</footer><p>&lt;End&gt; &#233;&eacute; 1 < 2</article></main><footer>foot</footer></body></html>"""
 
 
+def main_blocks(page):
+    """Whether blocks are protected, and all but the furniture."""
+    known, texts = H.parts(page)
+    return H.KEEP in known, [t for s, t in zip(known, texts, strict=True) if s != H.GONE]
+
+
 def test_article():
-    assert H.main_blocks(PAGE) == (True, ["Title & more", "One two bold x", "Three", "i1", "i2", "c1", "c2", "<End> éé 1 < 2"])
+    assert main_blocks(PAGE) == (True, ["Title & more", "One two bold x", "Three", "i1", "i2", "c1", "c2", "<End> éé 1 < 2"])
 
 
 @pytest.mark.parametrize(
@@ -34,12 +40,79 @@ def test_article():
     ],
 )
 def test_pages(page, blocks):
-    assert H.main_blocks(page)[1] == blocks
+    assert main_blocks(page)[1] == blocks
+
+
+def test_names_that_half_say_furniture_leave_it_open():
+    page = '<article><p>a</p><div class="related-work">b</div><div class="related-posts">c</div><section id="ad">d</section><p>e <i class="ad-hoc">f</i></p></article><div class="menu-of-today">g</div>'
+    known, texts = H.parts(page)
+    assert list(zip(known, texts, strict=True)) == [(H.KEEP, "a"), (H.OPEN, "b"), (H.GONE, "c"), (H.GONE, "d"), (H.KEEP, "e f"), (H.GONE, "g")]
+    known, texts = H.parts('<div class="layout has-sidebar"><p>a</p><div class="sidebar-wrap">b</div></div>')
+    assert list(zip(known, texts, strict=True)) == [(H.OPEN, "a"), (H.GONE, "b")]
+
+
+def test_the_array_decides_what_is_open(spark):
+    """In articles: a section that each page has for its own stays, one that the host repeats goes."""
+    page = '<article><p>text {0}</p><div class="related-work">work of {0}</div><div class="notice-of-rights">all rights reserved</div><p>end</p></article>'
+    rows = [(k, "http://h.example.com/", page.format(k)) for k in range(4)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"text {k}\nwork of {k}\nend" for k in range(4)}
+
+
+def host_brute(pages, least=H.LEAST, most=H.PAGES):
+    """pages: (key, states, texts) of one host; the text of each, window by window."""
+    runs, blocks, streams = {}, {}, []
+    for key, known, texts in pages:
+        stream = []  # (word, block, place); None where a protected block is
+        for k, (state, text) in enumerate(zip(known, texts, strict=True)):
+            if state == H.KEEP:
+                stream.append(None)
+            else:
+                blocks.setdefault(text, set()).add(key)
+                stream += [("", k, -1)] + [(w, k, j) for j, w in enumerate(text.split(" "))]
+        streams.append(stream)
+        for k in range(len(stream) - least + 1):
+            if None not in stream[k : k + least]:
+                runs.setdefault(tuple(x[0] for x in stream[k : k + least]), set()).add(key)
+    out = []
+    for (_, known, texts), stream in zip(pages, streams, strict=True):
+        gone = set()
+        for k in range(len(stream) - least + 1):
+            if None not in stream[k : k + least] and len(runs[tuple(x[0] for x in stream[k : k + least])]) >= most:
+                gone.update(x[1:] for x in stream[k : k + least])
+        kept = []
+        for k, (state, text) in enumerate(zip(known, texts, strict=True)):
+            if state == H.KEEP:
+                kept.append(text)
+            elif state == H.OPEN and len(blocks[text]) < most:
+                kept.append(" ".join(w for j, w in enumerate(text.split(" ")) if (k, j) not in gone))
+        out.append("\n".join(x for x in kept if x))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hosts_against_brute_force(spark, seed):
+    draw = random.Random(seed)
+    shared = [" ".join(f"s{j}x{i}" for i in range(draw.randint(1, 14))) for j in range(6)]
+    rows = []
+    for k in range(40):
+        part = lambda: " ".join(draw.choices([*shared, f"own{k} words", "few"], k=draw.randint(1, 4)))  # noqa: E731, B023
+        tags = ["p", "nav", "div class='menu-today'", "footer", "div class=ad"]
+        body = "".join(f"<{t}>{part()}</{t.split()[0]}>" for t in draw.choices(tags, k=draw.randint(0, 6)))
+        rows.append((k, f"http://h{k % 2}.example.com/", f"{part()}<article>{body}</article>" if k % 3 else body))
+    rows += [rows[5], rows[6], rows[6]]
+    wanted = []
+    for host in (0, 1):
+        own = [r for r in rows if r[0] % 2 == host]
+        wanted += zip((r[0] for r in own), host_brute([(r[0], *H.parts(r[2])) for r in own]), strict=True)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (None, 1500):
+        assert sorted((r.page_id, r.text) for r in H.extract(df, shard_chars=size).collect()) == sorted(wanted)
 
 
 def test_long_and_broken_pages_are_linear():
     for page in ("<" * 200000, '<a "' * 50000, "<div>" * 50000 + "x", "<i>" * 20000 + "</b>" * 20000, "<!--" * 50000, "&" * 100000, "<script>" * 20000):
-        H.main_blocks(page)
+        H.parts(page)
 
 
 def brute(stream, page, least, pages):
@@ -100,7 +173,7 @@ def test_pages_whose_article_is_none_go_to_the_array(spark):
     assert {r.page_id: r.text for r in H.extract(two).collect()} == {k: f"own words {k}" for k in (0, 1, 5)}
 
 
-def test_shards_of_a_host_count_pages_together(spark, monkeypatch):
+def test_shards_of_a_host_count_pages_together(spark):
     draw = random.Random(4)
     shared = [" ".join(f"s{j}x{i}" for i in range(12)) for j in range(30)]
     rows = []
@@ -110,19 +183,18 @@ def test_shards_of_a_host_count_pages_together(spark, monkeypatch):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     whole = {r.page_id: r.text for r in H.extract(df).collect()}
     assert any("only" in t for t in whole.values()) and not any("s1x1" in t or "Home" in t for t in whole.values())
-    monkeypatch.setattr(H, "SHARD_CHARS", 1000)
-    assert {r.page_id: r.text for r in H.extract(df).collect()} == whole
+    for size in (1000, 5000):
+        assert {r.page_id: r.text for r in H.extract(df, shard_chars=size).collect()} == whole
 
 
-def test_edges(spark, folder, monkeypatch):
+def test_edges(spark, folder):
     long = "word " * 100000
     rows = [(1, None, None, 1), (2, "u", "", 1), (3, None, f"<p>{long}</p>", 1), (3, None, f"<p>{long}</p>", 1), (None, "http://a/", PAGE, 1), (4, "http://a/", "<nav>x</nav>", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
     got = H.op8_text(spark, folder(pages=df)).collect()
-    assert sorted(((r.page_id, r.url, r.n_chars) for r in got), key=str) == sorted([(1, None, 0), (2, "u", 0), (3, None, 499999), (3, None, 499999), (None, "http://a/", len("\n".join(H.main_blocks(PAGE)[1]))), (4, "http://a/", 0)], key=str)
+    assert sorted(((r.page_id, r.url, r.n_chars) for r in got), key=str) == sorted([(1, None, 0), (2, "u", 0), (3, None, 499999), (3, None, 499999), (None, "http://a/", len("\n".join(main_blocks(PAGE)[1]))), (4, "http://a/", 0)], key=str)
     assert H.extract(df.limit(0)).count() == 0
-    monkeypatch.setattr(H, "SHARD_CHARS", 10)  # shards change where repeats are looked for, not which pages there are
-    assert H.extract(df).count() == len(rows)
+    assert sorted(map(str, H.extract(df, shard_chars=10).collect())) == sorted(map(str, H.extract(df).collect()))
 
 
 def test_query(spark, data):
