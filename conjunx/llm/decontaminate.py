@@ -1,19 +1,22 @@
 """Benchmark decontamination: a generalised suffix automaton of the test items, streamed over by every document.
 
 The automaton is broadcast, so its size is checked: the items are split into blocks of at most ``BLOCK_CHARS``
-characters by a hash of the item, one automaton a block, and the documents are streamed over one block after
-another; intermediate results go to the shared folder.  An ordinary test set is one block and one pass, with no
-shuffle.
+characters by a hash of the item, one automaton a block.  An ordinary test set is one block and one pass, with no
+shuffle.  Of larger ones, documents are first held against a Bloom filter of all windows, which never misses one;
+only those that it does not clear, which are few, are written to the shared folder and streamed over the blocks'
+automata, each pass giving no more than hits.  The filter is split as well, at ``FILTER_WINDOWS`` windows.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conjunx.llm.common import cut, mapped, pick, small, table, utf8
@@ -22,6 +25,11 @@ from conjunx.llm.suffix_automaton import SuffixAutomaton
 #: Most characters of items in one automaton (some 100 MB in a worker).
 BLOCK_CHARS = 1_000_000
 
+#: Most windows in one Bloom filter, 32 to 64 bits (64 MB at most) and 8 places for each: of other windows it passes
+#: one in 170,000 or fewer.
+FILTER_WINDOWS = 8_000_000
+PLACES = 8
+
 #: A-Z in lower case, every other ASCII character but digits and letters a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -64,77 +72,162 @@ def find(text: bytes, automaton: SuffixAutomaton) -> tuple[int, list[tuple[int,
     return len(parts), _union(hits), labels
 
 
-def _found(batch: pa.RecordBatch, automaton: SuffixAutomaton) -> tuple[list, list, list]:
-    """Words, hits and items of each row, with what the columns hits and items have already."""
-    counts, spans, items = [], [], []
-    old = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-    for text, hits, labels in zip(utf8(batch.column("text")), *old, strict=True):
-        n, new, named = find(text or b"", automaton)
-        counts.append(n)
-        spans.append(_union(new + [(h["start"], h["stop"]) for h in hits]))
-        items.append(sorted(named.union(labels)))
-    return counts, spans, items
+def _hits(found: list) -> pa.Array:
+    return pa.array([[{"start": a, "stop": b} for a, b in s] for s in found], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
 
 
-def _scan(df: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(automaton)
+def _scan(df: DataFrame, text: str, automaton: SuffixAutomaton) -> DataFrame:
+    """``df`` with n_words, hits and items."""
+    shared, at = df.sparkSession.sparkContext.broadcast(automaton), df.columns.index(text)
 
     def run(batches):
         for batch in small(batches):
-            counts, spans, items = _found(batch, shared.value)
-            spans = [[{"start": a, "stop": b} for a, b in s] for s in spans]
-            kinds = {f.name: f.type for f in batch.schema}
-            done = {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(spans, kinds["hits"]), "items": pa.array(items, kinds["items"])}
-            yield pa.RecordBatch.from_arrays([done.get(c, batch.column(c)) for c in batch.schema.names], schema=batch.schema)
+            rows = [find(t or b"", shared.value) for t in utf8(batch.column(at))]
+            new = pa.array([n for n, _, _ in rows], pa.int64()), _hits([h for _, h, _ in rows]), pa.array([sorted(x) for _, _, x in rows], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *_ADDED])
+
+    return mapped(df, run, f"{_ddl(df)}, n_words long, hits {_HITS}, items array<string>")
+
 
-    return mapped(df, run, df.schema)
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _scan_and_cut(df: DataFrame, automaton: SuffixAutomaton, most_covered: float) -> DataFrame:
-    """As ``_scan``, and in the same pass cuts hits out of texts and drops texts that are covered too far."""
-    shared = df.sparkSession.sparkContext.broadcast(automaton)
+def _cut_out(df: DataFrame, text: str, most_covered: float) -> DataFrame:
+    """``df`` without n_words, hits and items, with hits cut out of texts and without texts that are covered too far."""
+    own = [c for c in df.columns if c not in _ADDED]
 
     def run(batches):
         for batch in small(batches):
-            counts, spans, _ = _found(batch, shared.value)
+            spans = [[(h["start"], h["stop"]) for h in x] for x in batch.column("hits").to_pylist()]
+            keep = pa.array([sum(b - a for a, b in s) <= n * most_covered for n, s in zip(batch.column("n_words").to_pylist(), spans, strict=True)], pa.bool_())
+            place = batch.schema.names.index(text)
             if any(spans):
-                texts = batch.column("text").to_pylist()
-                new = [_without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-                batch = batch.set_column(batch.schema.names.index("text"), batch.schema.field("text"), pa.array(new, batch.schema.field("text").type))
-                batch = batch.filter(pa.array([sum(b - a for a, b in s) <= n * most_covered for n, s in zip(counts, spans, strict=True)]))
-            yield batch
+                new = [_without(t, s) if s else t for t, s in zip(batch.column(place).to_pylist(), spans, strict=True)]
+                batch = batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
+            yield batch.select(own).filter(keep)
+
+    return mapped(df, run, _ddl(df.select(*own)))
+
+
+def _window_hashes(parts: list[bytes], sizes: list[int]) -> np.ndarray:
+    """A hash of each run of so many words, for each size."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+    out, own, factor = [np.empty(0, np.uint64)], np.zeros(len(h), np.uint64), 1
+    for n in range(1, min(max(sizes, default=0), len(h)) + 1):
+        factor = factor * 0x9E3779B97F4A7C15 % 2**64
+        own = own[: len(h) - n + 1] + h[n - 1 :] * np.uint64(factor)
+        if n in sizes:
+            mixed = (own ^ (own >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93 + 2 * n)
+            out.append(mixed ^ (mixed >> np.uint64(32)))
+    return np.concatenate(out)
+
+
+def _place(h: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-th place of each hash in a filter of 2**bits bits: the byte and the bit in it."""
+    at = ((h >> np.uint64(32)) + np.uint64(k) * (h & np.uint64(2**32 - 1) | np.uint64(1))) & np.uint64(2**bits - 1)
+    return (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
+
+
+def _filters(source: DataFrame, window: int, filter_windows: int) -> tuple[list[int], list[tuple[int, np.ndarray]]]:
+    """The sizes that windows have, and Bloom filters (places, bits) that together have all windows."""
+    total = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, math.ceil((total / 2 + 1) / filter_windows))  # a word has a character and a space at least
+    sizes, filters = set(), []
+    for k in range(parts):
+        found = [np.empty(0, np.uint64)]
+        for r in source.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).select("text").toLocalIterator():
+            if item := words(r.text.encode()):
+                sizes.add(min(window, len(item)))
+                found.append(_window_hashes(item, [min(window, len(item))]))
+        h = np.unique(np.concatenate(found))
+        bits = max(20, (32 * len(h)).bit_length())
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for j in range(PLACES):
+            byte, bit = _place(h, j, bits)
+            np.bitwise_or.at(out, byte, np.uint8(1) << bit)
+        filters.append((bits, out))
+    return sorted(sizes), filters
+
+
+def _passes(h: np.ndarray, bits: int, table: np.ndarray) -> bool:
+    """Whether one of the hashes may be in the filter."""
+    for k in range(PLACES):
+        byte, bit = _place(h, k, bits)
+        h = h[(table[byte] >> bit & 1).astype(bool)]
+    return len(h) > 0
+
+
+def _uncleared(df: DataFrame, text: str, source: DataFrame, window: int, filter_windows: int) -> DataFrame:
+    """``df`` with n_words and the boolean maybe: whether a window may occur, as the filters say."""
+    sizes, filters = _filters(source, window, filter_windows)
+    for k, one in enumerate(filters):
+        shared, at = df.sparkSession.sparkContext.broadcast(one), df.columns.index(text)
+
+        def run(batches, shared=shared, first=not k, at=at):
+            for batch in small(batches):
+                parts = [words(t or b"") for t in utf8(batch.column(at))]
+                maybe = np.array([_passes(_window_hashes(x, sizes), *shared.value) for x in parts], bool)
+                if first:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, parts), pa.int64()), pa.array(maybe)], names=[*batch.schema.names, "n_words", "maybe"])
+                else:
+                    maybe |= batch.column("maybe").to_numpy(zero_copy_only=False)
+                    yield batch.set_column(len(batch.columns) - 1, batch.schema.field("maybe"), pa.array(maybe))
+
+        df = mapped(df, run, _ddl(df) + ("" if k else ", n_words long, maybe boolean"))
+    return df
+
+
+def _found(docs: DataFrame, text: str, items: DataFrame, item_id: str, item_text: str, window: int, block_chars: int, filter_windows: int) -> DataFrame:
+    """``docs`` with n_words, hits and items.  ``text`` is a column of strings."""
+    source = pick(items, id=item_id, text=item_text).where("text is not null")
+    blocks = max(1, math.ceil((source.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
 
-    return mapped(df, run, df.schema)
+    def automaton(k: int) -> SuffixAutomaton:
+        rows = source.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).select(F.col("id").cast("string"), "text").toLocalIterator()
+        return SuffixAutomaton(((r.id, words(r.text.encode())) for r in rows), window)
 
+    if blocks == 1:
+        return _scan(docs, text, automaton(0))
+    own = docs.columns
+    seen = _uncleared(docs, text, source, window, filter_windows)
+    clear = seen.where(~F.col("maybe")).select(*own, "n_words", F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
+    rest = cut(seen.where("maybe").withColumn("row_", F.monotonically_increasing_id()))  # numbers hold once they are written
+    passes = [_scan(rest.select("row_", F.col(text)), text, automaton(k)).where(F.size("hits") > 0).select("row_", "hits", "items") for k in range(blocks)]
+    each = functools.reduce(DataFrame.unionAll, passes)
+    each = each.groupBy(F.col("row_").alias("r")).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = F.array()
+    hits = F.coalesce(_joined(F.array_sort("hits")), none.cast(_HITS))
+    rest = rest.join(each, F.col("row_") == F.col("r"), "left").select(*own, "n_words", hits.alias("hits"), F.coalesce("items", none.cast("array<string>")).alias("items"))
+    return clear.unionAll(rest)
 
-def _prepared(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(*(c for c in docs.columns if c != text), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
 
+def _joined(hits: Column) -> Column:
+    """Sorted ranges, those that touch or overlap as one."""
+    start = F.array().cast(_HITS)
 
-def _automata(items: DataFrame, item_id: str, item_text: str, window: int, block_chars: int):
-    """An automaton for each block of items, at least one."""
-    source = pick(items, id=item_id, text=item_text).where("text is not null")
-    blocks = max(1, math.ceil((source.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
-    for k in range(blocks):
-        rows = source.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).select(F.col("id").cast("string"), "text").toLocalIterator()
-        yield k + 1 == blocks, SuffixAutomaton(((r.id, words(r.text.encode())) for r in rows), window)
+    def step(out, h):
+        last = F.element_at(out, -1)
+        touches = (F.size(out) > 0) & (h["start"] <= last["stop"])
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], h["stop"]).alias("stop"))
+        return F.when(touches, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(h)))
+
+    return F.aggregate(hits, start, step)
 
 
-def scan(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_chars: int = BLOCK_CHARS, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
     """``docs`` with n_words (long), hits (word ranges inside occurring windows, united and in order) and items
     (ids, as text in code point order, of the items with occurring windows).
 
     A null or empty text has no words and no hits.  A null item text has no windows; the windows of an item
     whose id is null count, but it is not named.  Repeated items and documents are judged each by itself; an
-    empty item table hits nothing.  Columns of ``docs`` named text_, n_words, hits or items are replaced.
+    empty item table hits nothing.  Columns of ``docs`` named n_words, hits or items are replaced.
     """
     own = [c for c in docs.columns if c not in _ADDED]
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)))
     column = f"c{own.index(text)}"
-    df = _prepared(plain, column)
-    for last, automaton in _automata(items, item_id, item_text, window, block_chars):
-        df = _scan(df, automaton) if last else cut(_scan(df, automaton))
-    return df.withColumnRenamed("text", column).select(*plain.columns, *_ADDED).toDF(*own, *_ADDED)
+    df = _found(plain.withColumn(column, F.col(column).cast("string")), column, items, item_id, item_text, window, block_chars, filter_windows)
+    return df.toDF(*own, *_ADDED)
 
 
 def _without(text: str, hits: list) -> str:
@@ -148,15 +241,14 @@ def _without(text: str, hits: list) -> str:
     return b"".join([*out, raw[pos:]]).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, most_covered: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, most_covered: float = 0.5, block_chars: int = BLOCK_CHARS, filter_windows: int = FILTER_WINDOWS) -> DataFrame:
     """``docs``, same columns, with every hit word range cut out of its text; a document of which more than
-    ``most_covered`` of the words are hit is dropped.  Documents without hits pass unchanged, null texts too."""
+    ``most_covered`` of the words are hit is dropped.  Documents without hits pass unchanged, null texts too; rows are
+    judged each by itself, whatever their ids; an empty item table changes nothing."""
     own = docs.columns
     plain, column = docs.toDF(*(f"c{k}" for k in range(len(own)))), f"c{own.index(text)}"
-    df = _prepared(plain, column)
-    for last, automaton in _automata(items, item_id, item_text, window, block_chars):
-        df = _scan_and_cut(df, automaton, most_covered) if last else cut(_scan(df, automaton))
-    return df.withColumnRenamed("text", column).select(*plain.columns).toDF(*own)
+    df = _found(plain.withColumn(column, F.col(column).cast("string")), column, items, item_id, item_text, window, block_chars, filter_windows)
+    return _cut_out(df, column, most_covered).toDF(*own)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -79,6 +79,11 @@ class SuffixAutomaton:
                     to.add(label)
         self.full = {s: sorted(x) for s, x in full.items()}
         self.short = {s: [(n, sorted(x)) for n, x in sorted(by.items())] for s, by in short.items()}
+        # the nearest state on the suffix path, itself included, that ends a short item; 0 for none
+        self.ends = [0] * len(self.length)
+        if short:
+            for s in sorted(range(1, len(self.length)), key=self.length.__getitem__):
+                self.ends[s] = s if s in self.short else self.ends[self.link[s]]
 
     def _suffix(self, state: int, size: int) -> int:
         """The state of the last ``size`` words of what ``state`` has matched."""
@@ -88,7 +93,7 @@ class SuffixAutomaton:
 
     def scan(self, ids: list[int], start: int, stop: int, hits: list[tuple[int, int]], labels: set[str]) -> None:
         """Adds to ``hits`` the (start, end) of each window that occurs in ids[start:stop], to ``labels`` its items."""
-        go, link, length, window = self.go, self.link, self.length, self.window
+        go, link, length, window, ends = self.go, self.link, self.length, self.window, self.ends
         state = matched = 0
         for i in range(start, stop):
             w = ids[i]
@@ -102,11 +107,10 @@ class SuffixAutomaton:
                 at = self._suffix(state, window)
                 hits.append((i + 1 - window, i + 1))
                 labels.update(self.full[at])
-            if self.short:
-                at = state
-                while at > 0:
-                    for n, names in self.short.get(at, ()):
-                        if n <= matched:
-                            hits.append((i + 1 - n, i + 1))
-                            labels.update(names)
-                    at = link[at]
+            at = ends[state]
+            while at:
+                for n, names in self.short[at]:
+                    if n <= matched:
+                        hits.append((i + 1 - n, i + 1))
+                        labels.update(names)
+                at = ends[link[at]]

@@ -81,6 +81,32 @@ def test_edges_and_blocks(spark, frame):
     assert D.scan(frame([]), bench).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_against_brute_force(spark, frame, seed):
+    """Many blocks and filters; short items too, and words that are in no item."""
+    draw = random.Random(seed)
+    text = lambda n, of="abcd": " ".join(draw.choices(of, k=n))
+    items = [(k if k % 5 else None, text(draw.randint(0, 9))) for k in range(30)]
+    docs = [(k, " z ".join(text(draw.randint(0, 12), "abcdefgh") for _ in range(3))) for k in range(60)] + [(3, None), (None, text(30)), (None, "")]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), frame(docs, clash=True)
+    one = D.scan(df, bench, window=5).select("doc_id", "text", "n_words", "hits", "items").collect()
+    many = D.scan(df, bench, window=5, block_chars=40, filter_windows=25).select("doc_id", "text", "n_words", "hits", "items").collect()
+    assert sorted(map(str, one)) == sorted(map(str, many))
+    for r in many:
+        n, hit, found = brute(r.text, items, 5)
+        assert (r.n_words, {k for h in r.hits for k in range(h.start, h.stop)}, r["items"]) == (n, hit, found)
+        assert all(a.stop < b.start for a, b in zip(r.hits, r.hits[1:], strict=False))
+    cut = [sorted(map(str, D.decontaminate(df, bench, window=5, **o).collect())) for o in ({}, {"block_chars": 40, "filter_windows": 25})]
+    assert cut[0] == cut[1]
+
+
+def test_filters_clear_what_has_no_window(spark, frame):
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(50)], "item_id long, text string")
+    docs = [(k, " ".join(f"d{k}x{j}" for j in range(100))) for k in range(200)] + [(1000, " ".join(f"w7x{j}" for j in range(12)))]
+    rows = D._uncleared(frame(docs).select("doc_id", "text"), "text", items.withColumnRenamed("item_id", "id"), 10, 100).where("maybe").collect()
+    assert 1000 in {r.doc_id for r in rows} and len(rows) < 20
+
+
 def test_spans_are_cut_out(spark, frame):
     item = " ".join(f"w{k}" for k in range(12))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
