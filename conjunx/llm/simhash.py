@@ -23,7 +23,6 @@ from conjunx.llm.components import stars
 SEED = 42
 #: Words whose bits are summed together, few enough for exact sums in single precision.
 TOGETHER = 1 << 16
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A component of more shingles is split into parts, and every pair of parts is looked at by itself.
 PART_SHINGLES = 2_000_000
 #: Ids of copies are broadcast up to this number of rows, some 80 MB.
@@ -126,22 +125,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return docs.join(of, F.col("fp") == F.col("key")).select("doc_id", "fp", "component_id")
 
 
-def word_key(text: Column) -> Column:
-    """A digest of the text's lower-cased (A-Z) word sequence; null for none."""
-    words = F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), r"[\x20\x09-\x0D]+", " "))
-    return F.unhex(F.md5(F.nullif(words, F.lit("")).cast("binary")))
+def _raw(text: Column) -> Column:
+    """A digest of the text as it is; null for a null text."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _features(docs: DataFrame, seeds: int) -> DataFrame:
-    """doc_id, whole and fps of each document."""
+    """doc_id, raw, whole (a digest of the lower-cased word sequence; null for none) and fps of each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in small(batches):
-            fps = weighted(utf8(batch.column("text")), seeds)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("whole"), pa.array(list(fps), pa.list_(pa.int64()))], names=["doc_id", "whole", "fps"])
+        for batch in small(batches, 500, 2_000_000):
+            texts = [b" ".join((t or b"").lower().split()) for t in utf8(batch.column("text"))]
+            whole = pa.array([xxhash.xxh3_128_digest(t) if t else None for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("raw"), whole, pa.array(list(weighted(texts, seeds)), pa.list_(pa.int64()))], names=["doc_id", "raw", "whole", "fps"])
 
-    return mapped(docs, run, f"doc_id {kind}, whole binary, fps array<long>")
+    return mapped(docs, run, f"doc_id {kind}, raw binary, whole binary, fps array<long>")
 
 
 def _forest(sets: list[np.ndarray], nodes: list[int], similarity: float) -> list[tuple[int, int]]:
@@ -195,10 +194,10 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     Every pair of a component counts, not the links alone: these are a forest for the fingerprints, and a pair
     alike may be joined in it over a third node that is like neither.  A component of more than
     ``PART_SHINGLES`` shingles is split into parts, and each pair of parts is looked at by itself.
-    ``nodes``: node, whole, least (its least id); ``docs``: doc_id, whole, text."""
+    ``nodes``: node, id and raw of a row of it; ``docs``: doc_id, raw, text."""
     roots = stars(links)
     members = roots.toDF("id", "component").unionAll(roots.select("b", "b")).distinct()
-    members = cut(members.join(nodes.select("node", F.col("whole").alias("w"), "least"), F.col("id") == F.col("node")).select("component", "node", "w", "least"))
+    members = cut(members.join(nodes.select("node", F.col("id").alias("of"), F.col("raw").alias("w")), F.col("id") == F.col("node")).select("component", "node", "of", "w"))
     members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
 
     def shingled(batches):
@@ -213,7 +212,7 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
             keep = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("component").take(keep), batch.column("node").take(keep), pa.array(sets, pa.list_(pa.int64()))], names=["component", "node", "set"])
 
-    found = docs.join(members, (F.col("whole") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("component", "node", "text")
+    found = docs.join(members, (F.col("raw") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("component", "node", "text")
     sets = cut(mapped(found, shingled, "component long, node long, set array<long>"))
     parts = sets.groupBy("component").agg(F.ceil(F.sum(F.size("set")) / PART_SHINGLES).cast("long").alias("parts")).withColumnRenamed("component", "c")
     rows = sets.join(parts, F.col("component") == F.col("c"))
@@ -245,18 +244,18 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     return mapped(rows, run, "a long, b long")
 
 
-def _groups(docs: DataFrame, size: int, similarity: float, seeds: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """``docs``: doc_id, text, whole.  Their doc_id and whole; and (w, kept, keeper): by whole, the whole and the id of the group's row
-    that stays."""
-    docs = docs.where("whole is not null")
-    rows = cut(_features(docs, seeds))
-    first = rows.groupBy("whole").agg(F.min("doc_id").alias("least"), F.any_value("fps").alias("fps"))
-    nodes = cut(first.withColumn("node", F.monotonically_increasing_id()))  # numbers hold once they are written
+def _groups(docs: DataFrame, size: int, similarity: float, seeds: int, radius: int) -> DataFrame:
+    """``docs``: doc_id, raw, text.  Their doc_id and raw, and those of the row of their group that stays: keeper, kept."""
+    rows = cut(_features(docs, seeds).where("whole is not null"))
+    own = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), "raw")
+    first = rows.groupBy("whole").agg(F.min(own).alias("s"), F.any_value("fps").alias("fps"))
+    nodes = cut(first.select("whole", "s.*", "fps").withColumn("node", F.monotonically_increasing_id()))  # numbers hold once they are written
     found = covering.links(nodes.select("node", F.col("fps").alias("fp")), radius)
     roots = stars(_verified(found, nodes, docs, size, similarity))
-    rooted = cut(nodes.join(roots, F.col("node") == F.col("a"), "left").select("whole", "least", F.coalesce("b", "node").alias("root")))
-    kept = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("least").alias("none"), "least", "whole")).alias("s")).withColumnRenamed("root", "r")
-    return rows.select("doc_id", "whole"), rooted.join(kept, F.col("root") == F.col("r")).select(F.col("whole").alias("w"), F.col("s.whole").alias("kept"), F.col("s.least").alias("keeper"))
+    rooted = cut(nodes.join(roots, F.col("node") == F.col("a"), "left").select("whole", F.struct("none", "id", "raw").alias("s"), F.coalesce("b", "node").alias("root")))
+    kept = rooted.groupBy("root").agg(F.min("s").alias("s")).withColumnRenamed("root", "r")
+    groups = rooted.drop("s").join(kept, F.col("root") == F.col("r")).select(F.col("whole").alias("w"), F.col("s.id").alias("keeper"), F.col("s.raw").alias("kept"))
+    return rows.join(groups, F.col("whole") == F.col("w")).select("doc_id", "raw", "keeper", "kept")
 
 
 def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, seeds: int = 6, radius: int = 3) -> DataFrame:
@@ -268,36 +267,34 @@ def copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size:
     from the texts.  Rows of one word sequence, or of one group, may be any share of all: they meet in joins that
     adaptive execution splits and in aggregations that combine before the shuffle.
     """
-    rows, groups = _groups(pick(docs, doc_id=doc_id, text=text).withColumn("whole", word_key(F.col("text"))), size, similarity, seeds, radius)
-    return rows.join(groups, F.col("whole") == F.col("w")).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "keeper").distinct()
+    found = _groups(pick(docs, doc_id=doc_id, text=text).withColumn("raw", _raw(F.col("text"))), size, similarity, seeds, radius)
+    return found.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "keeper").distinct()
 
 
 def drop_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, seeds: int = 6, radius: int = 3) -> DataFrame:
     """``docs`` with one row of each group of ``copies``: one of its smallest id.
 
-    Rows are told apart by id and word sequence, also those with equal or null ids; of rows equal in both the one
-    whose text comes first stays.  Texts without words stay, all of them.  No rows in, no rows out."""
+    Rows are told apart by id and text, also those with equal or null ids; of rows equal in both one stays, that with the
+    least hash of its other columns.  Texts without words stay, all of them.  No rows in, no rows out."""
     own = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(own))))
     key, body = f"c{own.index(doc_id)}", f"c{own.index(text)}"
-    plain = plain.withColumn("whole", word_key(F.col(body)))
-    rows, groups = _groups(plain.select(F.col(key).alias("doc_id"), F.col(body).alias("text"), "whole"), size, similarity, seeds, radius)
-    joined = rows.join(groups, F.col("whole") == F.col("w"))
-    stays = (F.col("whole") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("keeper"))
+    plain = plain.withColumn("raw", _raw(F.col(body)))
+    found = _groups(plain.select(F.col(key).alias("doc_id"), F.col(body).alias("text"), "raw"), size, similarity, seeds, radius)
+    stays = (F.col("raw") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("keeper"))
     # of all rows but the single ones that stay: how many rows there are, and whether one of them stays
-    listed = joined.groupBy(F.col("doc_id").alias("id"), F.col("whole").alias("w")).agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    listed = found.groupBy(F.col("doc_id").alias("id"), F.col("raw").alias("w")).agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
     listed = cut(listed.select("id", "w", "stays"))
-    same = (F.col("whole") == F.col("w")) & F.col(key).eqNullSafe(F.col("id"))
+    same = (F.col("raw") == F.col("w")) & F.col(key).eqNullSafe(F.col("id"))
     few = listed.count() <= BROADCAST_ROWS
-    known = F.broadcast(listed) if few else listed  # else texts are shuffled
-    out = plain.join(known, same, "left_anti").drop("whole")
+    out = plain.join(F.broadcast(listed) if few else listed, same, "left_anti").drop("raw")  # not few: texts are shuffled
     again = listed.where("stays")
     if again.isEmpty():
         return out.toDF(*own)
     again = F.broadcast(again) if few else again
-    columns = [body, *(c for c in plain.columns if c not in (body, "whole"))]
-    many = plain.join(again, same, "left_semi").groupBy(key, "whole").agg(F.min_by(F.struct(*columns), body).alias("s"))
-    return out.unionAll(many.select(*(F.col(f"s.{c}") for c in out.columns))).toDF(*own)
+    hashed = [c for c, kind in plain.dtypes if "map<" not in kind and "variant" not in kind]
+    many = plain.join(again, same, "left_semi").groupBy(key, "raw").agg(F.min_by(F.struct(*out.columns), F.xxhash64(*hashed)).alias("s"))
+    return out.unionAll(many.select("s.*")).toDF(*own)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
