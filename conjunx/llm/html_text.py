@@ -32,7 +32,7 @@ from conjunx.llm.common import cut, mapped, pick, small, table
 from conjunx.llm.url_filter import host_of
 
 LEAST, PAGES = 8, 3
-SHARD_CHARS = 16_000_000
+SHARD_CHARS = 1_000_000
 #: Hosts of several shards are broadcast up to this number, some 50 MB.
 BROADCAST_ROWS = 200_000
 #: What is known of a block: text, undecided, furniture.
