@@ -88,7 +88,7 @@ def words_of(texts: list[str]) -> Words:
     """A word is a letter and the letters and marks after it; marks that no letter comes before are in none."""
     kinds, lower, scripts = _tables()
     raw = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
-    kind, place = kinds[raw], np.arange(1, len(raw) + 1)
+    kind, place = kinds[raw], np.arange(1, len(raw) + 1, dtype=np.int32)
     inside = (kind > 0) & (np.maximum.accumulate(np.where(kind == 1, place, 0)) > np.maximum.accumulate(np.where(kind == 0, place, 0)))
     edges = np.diff(np.concatenate(([0], inside.view(np.int8))))
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -66,6 +67,37 @@ def test_identify(frame, model):
     assert by[7][3] == [(0, len(long), "en")]
 
 
+def plain_scores(word, docs):
+    """Of a word in each language: the sums of its trigrams' logs, from dictionaries; the word's edges are symbols."""
+    grams = lambda w: [("^" + w.lower() + "$")[max(0, k - 2) : k + 1] for k in range(1, len(w) + 2)]
+    tables = {}
+    for text, lang in docs:
+        table = tables.setdefault(lang, {})
+        for w in text.split():
+            for g in grams(w):
+                table[g] = table.get(g, 0) + 1
+    out = []
+    for lang in sorted(tables):
+        total = sum(tables[lang].values()) + 0.5 * L.BUCKETS
+        out.append(sum(math.log((tables[lang].get(g, 0) + 0.5) / total) for g in grams(word)))
+    return out
+
+
+def test_word_scores_against_dictionaries(frame):
+    docs = [(EN, "en"), (DE, "de"), (RU, "ru"), (EN, "en")]
+    model = L.train(frame([(k, t, x) for k, (t, x) in enumerate(docs)]))
+    tested = [*EN.split(), *DE.split(), *"lazier Hunde theß a".split()]
+    w = L.words_of([" ".join(tested)])
+    got = L.word_scores(w, model)
+    close = 0
+    for k, word in enumerate(tested):
+        plain = plain_scores(word, docs)[:2]  # de and en share a script that ru does not use
+        wanted = [max(x - max(plain), -L.MOST) for x in plain]
+        close += got[k, :2] == pytest.approx(wanted, abs=1e-4)
+        assert got[k, 2] == -L.FOREIGN
+    assert close >= len(tested) - 1  # cells are hashes: two trigrams may share one
+
+
 def test_script_narrows(model):
     w = L.words_of(["abc абв"])
     scores = L.word_scores(w, model)
