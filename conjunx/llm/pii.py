@@ -38,7 +38,7 @@ BASE = {
 CANDIDATES = {
     "secret": (r"[0-9]", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"),
     "number": (r"[0-9]{2}", r"(?<![A-Za-z0-9+.])\(?[0-9][0-9().\x20/-]{7,30}[0-9](?![0-9A-Za-z])"),
-    "address": (r"(?i)[\x20\[(]at[\x20\])]", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}+){1,4}+"),
+    "address": (r"(?i)[\x20\[(]at[\x20\])]", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}+)++"),
 }
 
 # Gazetteers and context words.
@@ -127,6 +127,21 @@ def _kept(k: int, kind: str) -> Column:
     return F.transform(F.filter(kind, lambda s: _passes(kind, s["value"])), lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
 
 
+def _overlaps(kind: str, c: Column) -> Column:
+    """Whether a span of the base ``kind``, which are apart and in order, overlaps ``c``: found by halving, so that many spans
+    in a text do not make for as many comparisons of each candidate."""
+    n = F.size(kind)
+
+    def halved(a, _):
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        before = F.element_at(F.col(kind), middle + 1)["start"] < c["stop"]
+        low, high = F.when(before, middle + 1).otherwise(a["low"]), F.when(before, a["high"]).otherwise(middle)
+        return F.when(a["low"] < a["high"], F.struct(low.alias("low"), high.alias("high"))).otherwise(a)
+
+    last = F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n.cast("long")))), F.struct(F.lit(0).alias("low"), n.alias("high")), halved, lambda a: a["low"])
+    return F.coalesce(F.try_element_at(F.col(kind), F.nullif(last, F.lit(0)))["stop"] > c["start"], F.lit(False))
+
+
 def _seen(k: int, kind: str) -> Column:
     """The candidates of a kind with their votes and features."""
 
@@ -161,9 +176,11 @@ def _spans(df: DataFrame, *carried: str) -> DataFrame:
         if kind == "secret":
             df = df.withColumn(kind, F.filter(kind, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")))
         df = df.withColumn(kind, _seen(k, kind))
-    df = df.select(*carried, F.concat(*KINDS).alias("base"), F.concat(*ADDED).alias("candidates"))
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    df = cut(df.withColumn("candidates", F.when((F.size("base") > 0) & (F.size("candidates") > 0), free).otherwise(F.col("candidates"))))
+    df = df.withColumn("candidates", F.concat(*ADDED))
+    for kind in KINDS:
+        free = F.filter("candidates", lambda c: ~_overlaps(kind, c))  # noqa: B023
+        df = df.withColumn("candidates", F.when((F.size(kind) > 0) & (F.size("candidates") > 0), free).otherwise(F.col("candidates")))
+    df = cut(df.select(*carried, F.concat(*KINDS).alias("base"), "candidates"))
     counted = df.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.features").count()
     accepted = classify([(r.kind, tuple(r.votes), tuple(r.features), r["count"]) for r in counted.toLocalIterator()])
     if not accepted:

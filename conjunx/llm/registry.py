@@ -8,7 +8,7 @@ from conjunx.llm.language_id import op1_language
 from conjunx.llm.mixing import op7_mix
 from conjunx.llm.pii import op3_pii
 from conjunx.llm.simhash import op6_simhash
-from conjunx.llm.spotsigs import op9_fingerprint
+from conjunx.llm.spotsigs import op9_fingerprint, spotsigs_classes
 from conjunx.llm.token_count import op2_tokens
 from conjunx.llm.toxicity import op4_toxicity
 from conjunx.llm.url_filter import op10_urls
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_text": op8_text,
     "op9_fingerprint": op9_fingerprint,
     "op10_urls": op10_urls,
+    "spotsigs_classes": spotsigs_classes,  # the joining half of operator 9
 }
 
 SQL = {"op5_decontaminate": OP5_SQL}

@@ -88,6 +88,8 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     return mapped(plain, run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, signatures array<long>")
 
 
+#: Keys that are looked at for each range of documents.
+PER_PART = 200
 #: A group of more sets is split into parts, and every pair of parts is looked at by itself.
 PART_ROWS = 20_000
 
@@ -173,37 +175,46 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
 
 
 def _range_index(value, bounds: list) -> F.Column:
-    """How many of the sorted ``bounds`` are at most ``value``, looked up in two steps of about their root."""
+    """How many of the sorted ``bounds`` (columns) are at most ``value``, looked up in two steps of about their root."""
     if not bounds:
         return F.lit(0)
     step = max(1, round(len(bounds) ** 0.5))
-    every = F.array(*(F.lit(b) for b in bounds))
-    coarse = F.array(*(F.lit(b) for b in bounds[step - 1 :: step]))
+    every = F.array(*bounds)
+    coarse = F.array(*bounds[step - 1 :: step])
     first = F.size(F.filter(coarse, lambda b: b <= value)) * step
     return first + F.size(F.filter(F.slice(every, first + 1, F.lit(step)), lambda b: b <= value))
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """doc_id, text, with rows dealt to ranges of doc_id (column part) and sorted in them by descending doc_id,
-    nulls last, equal ids by text; each range ends with rows with ``copy`` = 1, the first of the next range."""
-    bounds = sorted(set(docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
-    bounds = [int(b) for b in bounds]
-    docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_range_index(F.col("doc_id"), bounds) + 1).cast("int"))
-    heads = sorted(((r.part, r.head) for r in docs.groupBy("part").agg(F.max("doc_id").alias("head")).toLocalIterator()), reverse=True)
+    nulls last; each range ends with rows with ``copy`` = 1, the first of the next range.
+
+    Ids are of any type that has an order.  Rows with equal ids go by a hash of their texts, then by these, and
+    ranges are of ids with such hashes: an id that many rows have is split.  Only rows equal in id and text share
+    a range for sure.  Where ranges begin is taken from some ``PER_PART`` keys for each."""
+    value = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    keys = cut(docs.select(value.alias("key")))
+    rate = max(1, keys.count() // (PER_PART * parts))
+    some = sorted((r.key for r in keys.where(F.pmod(F.xxhash64("key.doc_id", "key.h"), F.lit(rate)) == 0).distinct().toLocalIterator()), key=lambda k: (k.doc_id is not None, 0 if k.doc_id is None else k.doc_id, k.h))
+    kind = docs.schema["doc_id"].dataType
+    literal = lambda k: F.struct(F.lit(k.doc_id).cast(kind).alias("doc_id"), F.lit(k.h).alias("h"))
+    bounds = [literal(k) for k in some[:: max(1, -(-len(some) // parts))][1:]]
+    part = lambda key: _range_index(key, bounds)
+    heads = {r.part: r.head for r in keys.groupBy(part(F.col("key")).alias("part")).agg(F.max("key").alias("head")).toLocalIterator()}
+    docs = docs.select("doc_id", "text", value.alias("key")).withColumn("part", part(F.col("key")))
     if not heads:
-        return docs.withColumn("copy", F.lit(0))
-    to = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}  # the head of a range goes to the range before, the first to the last
-    ids = [h for h in to if h is not None]
-    target = F.lit(None).cast("int")
-    if ids:
-        pairs = F.map_from_arrays(F.array(*(F.lit(h) for h in ids)), F.array(*(F.lit(to[h]) for h in ids)))
-        target = F.when(F.col("doc_id").isin(ids), F.element_at(pairs, F.col("doc_id")))
-    if None in to:
-        target = F.when(F.col("doc_id").isNull(), F.lit(to[None])).otherwise(target)
+        return docs.drop("key").withColumn("copy", F.lit(0))
+    order = sorted(heads, reverse=True)
+    to = {k: order[i - 1] for i, k in enumerate(order)}  # the head of a range goes to the range before, the first to the last
+    none = F.lit(None).cast(keys.schema["key"].dataType)
+    every = range(len(bounds) + 1)
+    head = F.element_at(F.array(*(literal(heads[k]) if k in heads else none for k in every)), F.col("part") + 1)
+    target = F.element_at(F.array(*(F.lit(to.get(k, 0)) for k in every)), F.col("part") + 1)
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("copy"))
-    both = F.when(target.isNull(), F.array(own)).otherwise(F.array(own, F.struct(target.alias("part"), F.lit(1).alias("copy"))))
-    rows = docs.select("doc_id", "text", F.inline(both).alias("part", "copy"))
-    return rows.repartitionById(max(heads)[0] + 1, F.col("part")).sortWithinPartitions(F.desc("part"), "copy", F.desc_nulls_last("doc_id"), "text")
+    both = F.when(F.col("key").eqNullSafe(head), F.array(own, F.struct(target.alias("part"), F.lit(1).alias("copy")))).otherwise(F.array(own))
+    rows = docs.select("doc_id", "text", "key", F.inline(both).alias("part", "copy"))
+    rows = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.desc("part"), "copy", F.desc_nulls_last("doc_id"), F.desc("key.h"), "text")
+    return rows.drop("key")
 
 
 def edited(text: str, after: str) -> str:
@@ -236,4 +247,10 @@ def op9_fingerprint(spark, sf_dir: str) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k or batch.schema.field("doc_id").type) for x, k in zip(out, kinds, strict=True)], names=names)
 
-    return mapped(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return mapped(rows, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def spotsigs_classes(spark, sf_dir: str) -> DataFrame:
+    """Per document: the class of documents whose fingerprints are alike to 0.8 or more."""
+    return classes(table(spark, sf_dir, "documents"))

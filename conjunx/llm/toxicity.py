@@ -1,19 +1,21 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic examples are the positives; all other text is unlabelled, whatever its label.  A linear
-classifier is trained in numpy on the risk estimator corrected by the class prior,
+Confirmed toxic examples are the positives; the unlabelled texts are drawn from all that have a label, whatever
+it says.  A linear classifier is trained in numpy on the risk estimator corrected by the class prior,
 
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]),
 
 where a mini-batch whose negative part is below zero steps against it.  Features are words and their beginnings
 of 4 to 7 letters that are commoner in positives than chance allows: whether a text has one, and how often.
 
-Training reads at most about ``POSITIVES`` confirmed and ``UNLABELLED`` other documents (a hash decides which).
+Training reads at most about ``POSITIVES`` confirmed and ``UNLABELLED`` other labelled rows (a hash decides which).
+Executors count and select the features and turn texts into them; the driver sees features, no texts.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import id_bucket, mapped, pick, small, table
+from conjunx.llm.common import cut, id_bucket, mapped, pick, small, table
 
 POSITIVES, UNLABELLED = 3000, 9000
 #: Features, the least positives that have one, and how many standard deviations above chance that must be.
@@ -46,93 +48,137 @@ def _names(word: str) -> list[str]:
     return [f"{word}.", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
-def _counts(text: str, place: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[dict[int, int], int]:
-    """How often each feature occurs, and the number of words."""
-    words = _WORD.findall(text.lower())
-    out: dict[int, int] = {}
-    for w in words:
-        ids = known.get(w)
-        if ids is None:
+def _occurrences(texts: list[str], place: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which text has which feature, and log(1 + how often in 200 words), by text and feature."""
+    width, owner, flat, n_words = max(1, len(place)), [], [], []
+    for t in texts:
+        words = _WORD.findall(t.lower())
+        if new := set(words).difference(known):
             if len(known) >= REMEMBERED:
                 known.clear()
-            ids = known[w] = tuple(place[x] for x in _names(w) if x in place)
-        for k in ids:
-            out[k] = out.get(k, 0) + 1
-    return out, len(words)
-
-
-def _values(counts: dict[int, int], n_words: int, width: int) -> tuple[list[int], list[float]]:
-    ids = list(counts)
-    return ids + [width + k for k in ids], [1.0] * len(ids) + [float(np.log1p(200 * n / n_words)) for n in counts.values()]
-
-
-def _select(positive: list[str], other: list[str]) -> dict[str, int]:
-    def spread(texts: list[str]) -> dict[str, int]:
-        n: dict[str, int] = {}
-        for t in texts:
-            for x in {x for w in set(_WORD.findall(t.lower())) for x in _names(w)}:
-                n[x] = n.get(x, 0) + 1
-        return n
-
-    p, u = spread(positive), spread(other)
-    chance = len(positive) / max(1, len(other))
-    found = []
-    for x, n in p.items():
-        expected = (u.get(x, 0) + 1) * chance
-        if n >= LEAST and (z := (n - expected) / expected**0.5) >= ABOVE:
-            found.append((-z, x))
-    return {x: k for k, (_, x) in enumerate(sorted(found)[:FEATURES])}
-
-
-def _dense(texts: list[str], place: dict[str, int]) -> np.ndarray:
-    out, known = np.zeros((len(texts), 2 * len(place)), np.float32), {}
-    for row, t in zip(out, texts, strict=True):
-        ids, values = _values(*_counts(t, place, known), len(place))
-        row[ids] = values
+                new = set(words)
+            known.update((w, tuple(place[x] for x in _names(w) if x in place)) for w in new)
+        found = list(chain.from_iterable(map(known.__getitem__, words)))
+        flat += found
+        owner.append(len(found))
+        n_words.append(len(words))
+    pair, count = np.unique(np.repeat(np.arange(len(texts)), owner) * width + np.array(flat, np.int64), return_counts=True)
+    text, feature = pair // width, pair % width
+    return text, feature, np.log1p(200 * count / np.array(n_words, np.int64)[text])
+
+
+def _spread(texts: list[str], positive: list[bool], other: list[bool]) -> dict[str, list[int]]:
+    """In how many positive and how many unlabelled texts each feature is."""
+    out: dict[str, list[int]] = {}
+    for t, p, u in zip(texts, positive, other, strict=True):
+        for x in {x for w in set(_WORD.findall(t.lower())) for x in _names(w)}:
+            n = out.setdefault(x, [0, 0])
+            n[0] += p
+            n[1] += u
     return out
 
 
-def fit(positive: list[str], other: list[str], prior: float, seed: int = 3) -> Model | None:
-    """The classifier; None without positives or unlabelled texts."""
-    if not positive or not other:
-        return None
-    place = _select(positive, other)
-    p, u = _dense(positive, place), _dense(other, place)
+def select(rows: DataFrame) -> dict[str, int]:
+    """The features, numbered: those most above chance in positives, the first ``FEATURES`` of them.  ``rows``: text, p, u."""
+
+    def run(batches):
+        for batch in small(batches):
+            found = _spread(*(batch.column(c).to_pylist() for c in ("text", "p", "u")))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array((n[0] for n in found.values()), pa.int64()), pa.array((n[1] for n in found.values()), pa.int64())], names=["name", "p", "u"])
+
+    n_p, n_u = rows.agg(F.coalesce(F.sum(F.col("p").cast("int")), F.lit(0)), F.coalesce(F.sum(F.col("u").cast("int")), F.lit(0))).first()
+    if not n_p or not n_u:
+        return {}
+    spread = mapped(rows.select("text", "p", "u"), run, "name string, p long, u long").groupBy("name").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    expected = (F.col("u") + 1) * (n_p / n_u)
+    above = spread.where(F.col("p") >= LEAST).select("name", ((F.col("p") - expected) / F.sqrt(expected)).alias("z")).where(F.col("z") >= ABOVE)
+    return {r.name: k for k, r in enumerate(above.orderBy(F.desc("z"), "name").limit(FEATURES).collect())}
+
+
+def vectors(rows: DataFrame, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The positives' and the unlabelled texts' features: presence, then frequency.  Order does not depend on that of ``rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast(place)
+
+    def run(batches):
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in small(batches):
+            text, feature, often = _occurrences(batch.column("text").to_pylist(), shared.value, known)
+            ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("u"), lists(feature, pa.int32()), lists(often, pa.float32())], names=["p", "u", "feature", "often"])
+
+    found = mapped(rows.select("text", "p", "u"), run, "p boolean, u boolean, feature array<int>, often array<float>").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["feature"], r["often"]))
+    out = []
+    for kind in ("p", "u"):
+        own = [r for r in found if r[kind]]
+        x = np.zeros((len(own), 2 * len(place)), np.float32)
+        for row, r in zip(x, own, strict=True):
+            at = np.array(r["feature"], np.int64)
+            row[at], row[len(place) + at] = 1, r["often"]
+        out.append(x)
+    return out[0], out[1]
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, b: float, x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positive and the negative part of the risk of positives ``x`` and unlabelled ``y``."""
+    zp, zu = x @ w + b, y @ w + b
+    return float(prior * np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def slope(w: np.ndarray, b: float, x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """The direction of a step, by weight and for the bias: the gradient of the risk; where its negative part is below zero the model fits
+    the sample too well, and it is that part's gradient turned round."""
+    sp, su = _sigmoid(x @ w + b), _sigmoid(y @ w + b)
+    positive, negative, other = -prior * (1 - sp) / len(x), -prior * sp / len(x), su / len(y)
+    if risk(w, b, x, y, prior)[1] < 0:
+        return -np.append(x.T @ negative + y.T @ other, negative.sum() + other.sum())
+    return np.append(x.T @ (positive + negative) + y.T @ other, (positive + negative).sum() + other.sum())
+
+
+def fit(x: np.ndarray, y: np.ndarray, prior: float, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Weights and bias, by Adam over mini-batches of positives ``x`` and unlabelled ``y``."""
     draw = np.random.default_rng(seed)
-    w, b, decay = np.zeros(p.shape[1], np.float32), float(np.log(prior / (1 - prior))), DECAY / len(positive)
-    mean, square = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    w, b, decay = np.zeros(x.shape[1], np.float32), float(np.log(prior / (1 - prior))), DECAY / len(x)
+    mean, square = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for step in range(1, STEPS + 1):
-        x, y = p[draw.integers(len(p), size=BATCH)], u[draw.integers(len(u), size=BATCH)]
-        zp, zu = x @ w + b, y @ w + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp = (-prior * (1 - sigmoid(zp)) / BATCH).astype(np.float32)  # of the positive part
-        np_, nu = (-prior * sigmoid(zp) / BATCH).astype(np.float32), (sigmoid(zu) / BATCH).astype(np.float32)  # of the negative part
-        if negative < 0:  # the model fits the sample too well: step back
-            g = np.concatenate((-(x.T @ np_ + y.T @ nu), [-(np_.sum() + nu.sum())]))
-        else:
-            g = np.concatenate((x.T @ (gp + np_) + y.T @ nu + decay * w, [(gp + np_).sum() + nu.sum()]))
+        p, u = x[draw.integers(len(x), size=BATCH)], y[draw.integers(len(y), size=BATCH)]
+        g = slope(w, b, p, u, prior).astype(np.float32)
+        if risk(w, b, p, u, prior)[1] >= 0:
+            g[:-1] += decay * w
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1].astype(np.float32), b - float(move[-1])
-    return Model(place, w, float(b))
+        w, b = w - move[:-1], b - float(move[-1])
+    return w, b
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[list[str], list[str], float]:
-    """Texts of confirmed examples, unlabelled texts, and the class prior: the confirmed share of labelled ids.
+def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[DataFrame, float]:
+    """Rows of confirmed examples and of unlabelled texts (text, p, u: a row may be both), and the class prior: the
+    confirmed share of labelled ids.
 
-    An id counts as confirmed if any of its labels is 1; a null label is none.  Only ids of bounded number are
-    broadcast.
+    An id counts as confirmed if any of its labels is 1; a null label is none.  Ids of bounded number are broadcast,
+    their rows written.  A null text is no example.
     """
     known = pick(labels, id=doc_id, y=label).where("id is not null and y is not null").groupBy("id").agg(F.max((F.col("y") == 1).cast("int")).alias("y"))
     n, n_positive = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    total = docs.count()
-    part = lambda column, salt, share: F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000)
-    ids = known.where("y = 1").where(part("id", "positive", min(1.0, positives / max(1, n_positive)))).select("id")
+    part = lambda salt, share: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000)
+    p = (F.col("y") == 1) & part("positive", min(1.0, positives / max(1, n_positive)))
+    ids = known.select("id", p.alias("p"), part("unlabelled", min(1.0, unlabelled / max(1, n))).alias("u")).where("p or u")
     rows = pick(docs, doc_id=doc_id, text=text).where("text is not null")
-    rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left").select("text", F.col("id").isNotNull().alias("p"), part("doc_id", "unlabelled", min(1.0, unlabelled / max(1, total))).alias("u"))
-    found = sorted((r.text, r.p, r.u) for r in rows.where("p or u").toLocalIterator())
-    return [t for t, p, _ in found if p], [t for t, _, u in found if u], min(0.9, max(0.001, n_positive / max(1, n)))
+    rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text", "p", "u")
+    return cut(rows), min(0.9, max(0.001, n_positive / max(1, n)))
+
+
+def train(docs: DataFrame, labels: DataFrame, **options) -> Model | None:
+    """The classifier, with the options of ``sample``; None without positives or unlabelled texts."""
+    rows, prior = sample(docs, labels, **options)
+    place = select(rows)
+    x, y = vectors(rows, place)
+    return Model(place, *fit(x, y, prior)) if len(x) and len(y) else None
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
@@ -147,11 +193,11 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFr
         m, known = shared.value, {}
         for batch in small(batches):
             out = np.zeros(batch.num_rows)
-            for row, t in enumerate(batch.column(at).to_pylist() if m else []):
-                ids, values = _values(*_counts(t or "", m.place, known), len(m.place))
-                z = m.bias + sum(m.weights[k] * v for k, v in zip(ids, values, strict=True))
-                out[row] = 1 / (1 + np.exp(-min(30.0, max(-30.0, float(z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "tox_score"])
+            if m:
+                text, feature, often = _occurrences([t or "" for t in batch.column(at).to_pylist()], m.place, known)
+                given = (m.weights[feature] + m.weights[len(m.place) + feature] * often) if len(text) else often
+                out = _sigmoid(m.bias + np.bincount(text, weights=given, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "tox_score"])
 
     return mapped(plain, run, plain.withColumn("tox_score", F.lit(0.0)).schema).toDF(*own, "tox_score")
 
@@ -161,6 +207,6 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     held_out = id_bucket("doc_id", 4) == 2
     seen = docs.where(~held_out)
-    model = fit(*sample(seen, table(spark, sf_dir, "labels").where(~held_out)))
+    model = train(seen, table(spark, sf_dir, "labels").where(~held_out))
     found = score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return found.select("doc_id", "held_out", F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.3).cast("int").alias("predicted"))

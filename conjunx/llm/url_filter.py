@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from conjunx.llm.common import cut, mapped, pick, small, table, utf8
 
 ORDER = 5
-#: Cells of a table without keys.
-BUCKETS = 1 << 20
 #: N-grams that are sent to every task, some 100 MB there.
 SHIP = 1_000_000
 #: What tells a context's key from a gram's.
@@ -36,7 +34,6 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower case; every digit is one symbol; 0 is the start symbol and does not occur otherwise.
 _FOLD = bytes(48 if 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else c or 1 for c in range(256))
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def host_of(url: Column) -> Column:
@@ -82,15 +79,11 @@ def _grams(urls: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]
     return np.cumsum(sizes) - sizes, out, sizes
 
 
-def _cells(urls: list[bytes], keys: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """As ``_grams``, with the cells of contexts and of grams: their places in the sorted ``keys``, or the place
-    after the last.  Without keys, for a few n-grams, cells are hashes."""
+def _cells(urls: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """As ``_grams``, with the places of contexts and of grams in the sorted ``keys``, or the place after the last."""
     starts, grams, sizes = _grams(urls)
 
     def cell(key: np.ndarray) -> np.ndarray:
-        if keys is None:
-            h = key.astype(np.uint64) * _ODD
-            return ((h ^ h >> np.uint64(32)) * _ODD) >> np.uint64(65 - BUCKETS.bit_length())
         at = np.searchsorted(keys, key)
         return np.where(keys[np.minimum(at, len(keys) - 1)] == key, at, len(keys))
 
@@ -140,7 +133,7 @@ def _counted(urls: DataFrame) -> _Model | None:
     return _Model(found["gram"].to_numpy(), np.stack((found["n0"].to_numpy(), found["n1"].to_numpy())), far)
 
 
-def _score(urls: list[bytes], counts: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+def _score(urls: list[bytes], counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Log-likelihood difference a byte, accepted less rejected; 0 for an empty URL."""
     starts, cells, sizes = _cells(urls, keys)
     if not sizes.sum():

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -71,6 +72,84 @@ def test_reliabilities_find_the_good_labeler():
     assert posterior[(1, 1, 1, 1)] > 0.9 > 0.1 > posterior[(-1, -1, -1, -1)]
 
 
+def plain_reliabilities(rows, rounds=100):
+    """Expectation-maximisation vote by vote over single candidates."""
+    n = len(rows[0])
+    share, yes, no = 0.5, [[0.1, 0.6, 0.3]] * n, [[0.3, 0.6, 0.1]] * n
+    for _ in range(rounds):
+        sure = []
+        for votes in rows:
+            a, b = share, 1 - share
+            for k, v in enumerate(votes):
+                a, b = a * yes[k][v + 1], b * no[k][v + 1]
+            sure.append(a / (a + b))
+        share = sum(sure) / len(rows)
+        yes = [[(1 + sum(p for votes, p in zip(rows, sure, strict=True) if votes[k] == v)) / (3 + sum(sure)) for v in (-1, 0, 1)] for k in range(n)]
+        no = [[(1 + sum(1 - p for votes, p in zip(rows, sure, strict=True) if votes[k] == v)) / (3 + len(rows) - sum(sure)) for v in (-1, 0, 1)] for k in range(n)]
+    return share, yes, no
+
+
+def random_votes(seed, n):
+    draw, rows = random.Random(seed), []
+    for _ in range(n):
+        truth = draw.random() < 0.4
+        rows.append(tuple((1 if truth == (draw.random() < p) else -1) if draw.random() < 0.8 else 0 for p in (0.95, 0.8, 0.75)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reliabilities_against_single_candidates(seed):
+    rows = random_votes(seed, 300)
+    counts = {v: rows.count(v) for v in rows}
+    share, chances, _ = pii.reliabilities(sorted(counts.items()))
+    wanted, yes, no = plain_reliabilities(rows)
+    assert share == pytest.approx(wanted, abs=0.01)
+    for k in range(3):
+        assert chances[k][1] == pytest.approx(yes[k], abs=0.02) and chances[k][0] == pytest.approx(no[k], abs=0.02)
+
+
+def test_classifier_against_plain_descent():
+    """The accepted patterns are those of a logistic regression fitted slowly on single candidates."""
+    draw = random.Random(5)
+    votes = random_votes(8, 400)
+    rows = [(v, (draw.choice((2, 3)) if sum(v) > 0 else draw.choice((0, 1, 2)), draw.randint(0, 1))) for v in votes]
+    counts = {}
+    for v, f in rows:
+        counts[4, v, f] = counts.get((4, v, f), 0) + 1
+    got = set(pii.classify([(k, v, f, n) for (k, v, f), n in sorted(counts.items())]))
+    _, _, posterior = pii.reliabilities(sorted({v: votes.count(v) for v in votes}.items()))
+    weights = {}
+    names = lambda f: ["bias", *enumerate(f)]
+    value = lambda f: sum(weights.get(x, 0.0) for x in names(f))
+    for _ in range(3000):
+        slope = {}
+        for v, f in rows:
+            error = 1 / (1 + math.exp(-value(f))) - posterior[v]
+            for x in names(f):
+                slope[x] = slope.get(x, 0.0) + error / len(rows)
+        for x, g in slope.items():
+            weights[x] = weights.get(x, 0.0) - g
+    every = {f for _, f in rows}
+    clear = {f for f in every if abs(value(f)) > 0.2}
+    assert {f for _, f in got} & clear == {f for f in clear if value(f) > 0} and len(clear) >= len(every) - 1
+
+
+def test_candidates_apart_from_base_spans(spark):
+    """As by comparing each with each, for texts of many spans."""
+    draw = random.Random(2)
+    parts = ["1.2.3.4 ", "0123456789abcdef0123456789abcdef ", "+1 (555) 123-4567 ", "555-123-4567 x ", "a@b.co ", "bob [at] x [dot] com ", "words ", "4111 1111 1111 1111 "]
+    texts = ["".join(draw.choice(parts) for _ in range(n)) for n in (3, 10, 50, 400, 3000)]
+    plain = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    got = pii._spans(plain, "k")
+    for r in got.collect():
+        added = [s for s in r.found if s.kind >= len(pii.KINDS)]
+        assert not [1 for s in added for b in r.base if b.start < s.stop and s.start < b.stop]
+        if len(texts[r.k]) > 1000:
+            bare = [m.start() for m in re.finditer("(?<![A-Za-z0-9_-])[0-9a-f]{32}(?![A-Za-z0-9_-])", texts[r.k])]
+            alone = [a for a in bare if not [1 for b in r.base if b.start < a + 32 and a < b.stop]]
+            assert alone and {s.start for s in added if s.kind == 4} in (set(alone), set())
+
+
 def test_redact(frame):
     rows = [(1, "mail a@b.co or +1 (555) 123-4567, é 4111 1111 1111 1111!"), (2, "nothing"), (3, None), (4, ""), (5, "1.2.3.4"), (None, "kept")]
     got = {r.doc_id: r.text for r in pii.redact(frame(rows, clash=True)).collect()}

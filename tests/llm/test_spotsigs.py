@@ -1,8 +1,10 @@
 import hashlib
+import re
 from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
 
 from conjunx.llm import spotsigs as S
 from conjunx.llm.decontaminate import words
@@ -41,15 +43,46 @@ def test_fallbacks():
     assert len(S.signatures("!!!")) == 1 and S.signatures("!!!").tolist() != S.signatures("??").tolist()
 
 
+def plain_signatures(text):
+    """The set of 32-bit signatures, by plain loops."""
+    most = 2**64 - 1
+    lower = re.sub("[A-Z]", lambda m: m.group().lower(), text)
+    parts = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    if not parts:
+        return {crc32(text.encode())} if text else set()
+    out = set()
+    for k in range(-1, len(parts)):
+        if k >= 0 and parts[k] not in S.ANCHORS:
+            continue
+        chain = [w for w in parts[k + 1 :] if w not in S.ANCHORS][:2]
+        if len(chain) < 2:
+            continue
+        h = 1 << 32 if k < 0 else crc32(parts[k].encode())
+        for w in chain:
+            h = (h * 0x9E3779B97F4A7C15 & most) ^ crc32(w.encode())
+            h ^= h >> 31
+        out.add((h * 0xC2B2AE3D27D4EB4F & most) >> 32)
+    return out or {crc32(w.encode()) for w in parts}
+
+
+def plain_likeness(x, y):
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def plain_text(x):
+    return "".join(f"{v:08x}" for v in sorted(x))
+
+
 def brute(rows):
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, [-ord(c) for c in r[1] or ""]), reverse=True)
+    key = lambda r: (r[0] is not None, r[0] or 0, int(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).view(np.int64)))
+    ordered = sorted(rows, key=key, reverse=True)
     out = []
     for k, (key, text) in enumerate(ordered):
         text, after = text or "", ordered[(k + 1) % len(ordered)][1] or ""
         half = len(text) // 2
         new = text[: len(text) - half] + after[:half]
-        sig, other, far = S.signatures(text), S.signatures(new), S.signatures(after)
-        out.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), S.as_text(sig), S.as_text(other), S.likeness(sig, other), S.likeness(sig, far)))
+        sig, other, far = map(plain_signatures, (text, new, after))
+        out.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), plain_text(sig), plain_text(other), plain_likeness(sig, other), plain_likeness(sig, far)))
     return sorted(out, key=str)
 
 
@@ -58,6 +91,24 @@ def test_query_against_brute_force(spark, data):
     assert sorted(map(tuple, S.op9_fingerprint(spark, data).collect()), key=str) == brute(rows)
 
 
+def test_one_id_is_split(spark, frame):
+    """Rows of one id, or of none, are dealt to several ranges; texts that are ids are ranged as well."""
+    for ids, kind in (([5] * 400, "long"), ([None] * 400, "long"), ([f"doc-{k % 7}" for k in range(400)], "string")):
+        rows = S.with_next(frame([(i, f"the text of row{k}") for k, i in enumerate(ids)], f"doc_id {kind}, text string"), 8)
+        found = rows.where("copy = 0").groupBy("part").count().collect()
+        assert len(found) >= 7 and max(r["count"] for r in found) < 150
+
+
+def test_ids_that_are_text(spark, frame, folder):
+    rows = [("b", "the x y of z w"), ("a", "one"), ("ab", None), (None, "the q r"), ("é", "of a b"), ("a", "two")]
+    got = S.op9_fingerprint(spark, folder(documents=frame(rows, "doc_id string, text string", clash=True)))
+    order = [("é", "of a b"), ("b", "the x y of z w"), ("ab", "")]
+    assert sorted(r.doc_id or "" for r in got.collect()) == sorted(r[0] or "" for r in rows)
+    by = {r.doc_id: r for r in got.collect() if r.doc_id in ("é", "b", "ab")}
+    for (key, text), (_, after) in zip(order, order[1:], strict=False):
+        assert by[key].near_next == plain_likeness(plain_signatures(text), plain_signatures(after))
+
+
 @pytest.mark.parametrize(
     "rows",
     [
@@ -78,8 +129,13 @@ def test_empty_table(spark, frame, folder):
     assert S.fingerprints(frame([(1, None)])).first().signatures == []
 
 
+def test_classes_query(spark, data):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    assert sorted(map(tuple, S.spotsigs_classes(spark, data).collect()), key=str) == brute_classes(rows, 0.8)
+
+
 def brute_classes(rows, similarity):
-    sets = [set(S.signatures(t or "").tolist()) for _, t in rows]
+    sets = [plain_signatures(t or "") for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):

@@ -49,17 +49,6 @@ def test_model_tells_classes_apart(spark):
     assert all(again[k].verdict == got[k].verdict and again[k].score == pytest.approx(got[k].score) for k in got)
 
 
-def test_scores_follow_the_counts():
-    counts = np.zeros((2, 2, U.BUCKETS), np.int64)
-    for k, text in ((0, [b"abab"] * 50), (1, [b"cdcd"] * 50)):
-        _, cells, _ = U._cells(text)
-        for context, gram in cells:
-            np.add.at(counts[k, 0], context.astype(np.int64), 1)
-            np.add.at(counts[k, 1], gram.astype(np.int64), 1)
-    up, down, none = U._score([b"abab", b"cdcd", b""], counts)
-    assert up > 1 > -1 > down and none == 0
-
-
 def folded(u):
     return "".join("0" if c.isdigit() else c for c in u.lower())
 
@@ -111,6 +100,39 @@ def test_scores_are_exact_where_a_fixed_table_is_full(spark, monkeypatch, ship):
         assert got[k] == pytest.approx(score(urls[k]), abs=1e-9)
 
 
+def plain_threshold(scored):
+    """scored: (score, label).  The middle of the cuts with the least sum of both classes' shares of errors."""
+    width = 2 * U.SPAN / (U.BINS - 1)
+    bins = [(int((max(-U.SPAN, min(U.SPAN, s)) + U.SPAN) / width), y) for s, y in scored]
+    total = [max(1, sum(y == k for _, y in bins)) for k in (0, 1)]
+    errors = []
+    for cut in range(U.BINS + 1):
+        lost = sum(b < cut and y == 0 for b, y in bins) / total[0]
+        kept = sum(b >= cut and y == 1 for b, y in bins) / total[1]
+        errors.append(lost + kept)
+    best = [k for k, e in enumerate(errors) if e <= min(errors) + 1e-12]
+    return (best[0] + best[-1]) / 2 * width - U.SPAN
+
+
+@pytest.mark.parametrize("ship", [1_000_000, 30])
+def test_verdicts_against_a_plain_model(spark, monkeypatch, ship):
+    """Classes that overlap: counts, smoothing, threshold and verdict by dictionaries and loops."""
+    monkeypatch.setattr(U, "SHIP", ship)
+    draw = random.Random(11)
+    word = lambda letters: "".join(draw.choices(letters, k=draw.randint(2, 6)))
+    url = lambda tld: f"http://{word('abcdmnop')}.{tld}/{word('abmnopyz' if tld == 'com' else 'cdmnopwx')}{draw.randint(0, 99)}"
+    urls = [url(("com", "net")[k % 2]) for k in range(240)] + [url("org") for _ in range(60)] + ["http://odd.org/É", "x"]
+    df = pages(spark, urls)
+    apart = {r.url for r in df.selectExpr("url", "pmod(xxhash64(url, 'calibration'), 5) = 0 a").where("a").collect()}
+    score = exact([[u for u in urls[k:240:2] if u not in apart] for k in (0, 1)])
+    cut = plain_threshold([(score(u), k % 2) for k, u in enumerate(urls[:240]) if u in apart])
+    got = {r.page_id: r for r in U.judge(df, rules=(("allow", "com", "/"), ("block", "net", "/"))).collect()}
+    for k in [*range(240, 300), 301]:
+        assert got[k].score == pytest.approx(score(urls[k]), abs=1e-9)
+        assert got[k].verdict == ("block" if got[k].score < cut else "allow")
+    assert {got[k].verdict for k in range(240, 300)} == {"allow", "block"}
+
+
 def test_one_class_only_or_none(spark):
     got = U.judge(pages(spark, ["http://a.com/x", "http://b.org/", None])).collect()
     assert [r.verdict for r in got] == ["allow"] * 3
