@@ -22,9 +22,9 @@ from conjunx.llm.components import stars
 
 SEED = 42
 #: Words whose bits are summed together, few enough for exact sums in single precision.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 12
 #: A component of more shingles is split into parts, and every pair of parts is looked at by itself.
-PART_SHINGLES = 2_000_000
+PART_SHINGLES = 700_000
 #: Ids of copies are broadcast up to this number of rows, some 80 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -77,6 +77,7 @@ def weighted(texts: list[bytes], seeds: int) -> np.ndarray:
         words = t.lower().split()
         sizes.append(len(words))
         flat.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+    number.default_factory = None  # else the dictionary holds itself, and stays until a cycle is looked for
     out = np.zeros((len(texts), seeds), np.int64)
     if not number:
         return out
@@ -148,8 +149,9 @@ def _forest(sets: list[np.ndarray], nodes: list[int], similarity: float) -> list
     such pairs connect: a node is done with only when a pair of it is verified.  Two sets alike share one of their
     n - ceil(similarity x n) + 1 rarest elements, so others need not be compared."""
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
-    starts, owner = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(sets)), lengths)
+    starts, owner = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
     _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ids, often = ids.astype(np.int32), often.astype(np.int32)
     ids = ids[np.lexsort((ids, often[ids], owner))]
     rare = np.arange(len(ids)) - starts[owner] <= (lengths - np.ceil(similarity * lengths - 1e-9))[owner]
     order = np.argsort(ids[rare], kind="stable")
