@@ -60,9 +60,17 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+#: Rows and bytes that go to a worker at once, and back: settings of the session, so that a task holds little besides its rows.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package on the workers."""
-    ship(df.sparkSession)
+    """``df.mapInArrow``, with this package on the workers and small batches."""
+    spark = df.sparkSession
+    ship(spark)
+    for k, v in BATCHES.items():
+        if spark.conf.get(k) != v:
+            spark.conf.set(k, v)
     return df.mapInArrow(run, schema)
 
 
