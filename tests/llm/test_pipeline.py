@@ -100,12 +100,58 @@ def test_run(spark, data, steps):
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.STAGES is stages.STAGES
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(1, None, None, "s", 3), (2, "", "en", None, 0), (2, "the text of one document", None, None, 24), (None, "12 34", "en", "s", 5)]])
-def test_odd_tables(spark, data, rows, tmp_path):
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.read.parquet(f"{data}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", None, 0),
+    (2, "the text of one document", None, None, 24),
+    (None, "12 34", "en", "s", 5),
+    (None, "write to someone at a@b.co today, for this is a text without an id", None, "s", 0),
+    (7, "the address is x@y.zz, and there is some more text of the first row", "en", "s", 0),
+    (7, "here is 10.20.30.40 in the second row with this very id, and it stays", "en", "s", 0),
+    (7, "here is 10.20.30.40 in the second row with this very id, and it stays", "en", "s", 0),
+    (9, "HERE is 10.20.30.40 in the second row with this very id, and it stays", "en", "t", 0),
+]
+
+
+def odd(spark, data, path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node int, c0 string")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").limit(0).write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_odd_tables(spark, data, tmp_path):
+    """Null and repeated ids, null and empty texts, equal rows, columns with clashing names: what becomes of each row."""
+    sf = odd(spark, data, tmp_path, [(*r, 5, "c") for r in ODD])
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in stages.STAGES:
+        docs = stage(spark, docs, sf)
+        kept.append((name, sorted((str(r.doc_id), r.text) for r in docs.collect())))
+    texts = [(str(r[0]), r[1]) for r in ODD]
+    assert kept[0][1] == sorted(x for k, x in enumerate(texts) if k not in (0, 1, 3))  # no letters
+    assert kept[1][1] == sorted([texts[2], texts[4], texts[5], texts[6]])  # equal word sequences: one row
+    assert kept[2][1] == kept[1][1]
+    redacted = sorted((k, t.replace("a@b.co", "<EMAIL>").replace("x@y.zz", "<EMAIL>").replace("10.20.30.40", "<IP>")) for k, t in kept[1][1])
+    assert kept[3][1] == redacted and set(kept[4][1]) <= set(redacted)
+    assert {"node", "c0"} <= set(docs.columns) and {(r.node, r.c0) for r in docs.collect()} == {(5, "c")}
+    sizes = {t: len(t.split()) for _, t in redacted}
+    for r in docs.collect():
+        assert 0 < r.mix_words <= sizes[r.text] and r.n_chars == len(r.text)
+
+
+def test_empty_table(spark, data, tmp_path):
+    out = corpus_pipeline.run(spark, odd(spark, data, tmp_path, []))
+    assert out.count() == 0 and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stage_folders_do_not_stay(spark, data, tmp_path):
+    from conjunx.llm.common import shared_dir
+
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(top.glob("pipeline-*"))
+    corpus_pipeline.run(spark, odd(spark, data, tmp_path, [(*r, 5, "c") for r in ODD])).count()
+    (made,) = set(top.glob("pipeline-*")) - before
+    assert [p.name for p in made.iterdir()] == [str(len(stages.STAGES) - 1)]
 
 
 def test_registered():
