@@ -101,6 +101,20 @@ def small(batches, rows: int = 2000, size: int = 8_000_000):
             k = stop
 
 
+def pieces(text: str, size: int):
+    """(offset, piece): a text in pieces of about ``size`` characters, each cut after white space, longer where there is none."""
+    at = 0
+    while len(text) - at > size:
+        cut_at = max(text.rfind(c, at, at + size) for c in " \n") + 1
+        if cut_at <= at:
+            ends = [k for c in " \n" if (k := text.find(c, at + size)) >= 0]
+            cut_at = min(ends) + 1 if ends else len(text)
+        yield at, text[at:cut_at]
+        at = cut_at
+    if at < len(text) or not text:
+        yield at, text[at:]
+
+
 def id_bucket(doc_id: str, mod: int):
     """crc32 of the id as text, modulo ``mod``: the split of rows that contracts name."""
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")), F.lit(mod))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from conjunx.llm.common import id_bucket, mapped, pick, small, table
+from conjunx.llm.common import id_bucket, mapped, pick, pieces, small, table
 
 #: Labelled documents a language that training reads, about.
 SAMPLE = 2000
@@ -32,7 +32,7 @@ SWITCH, MOST = 8.0, 6.0
 FOREIGN = 20.0
 #: A language uses a script that has at least this share of its letters.
 USES = 0.01
-#: Characters that are looked at together.
+#: Characters that are looked at together; a longer text is looked at piece by piece.
 CHUNK = 400_000
 
 #: Ranges of code points by script; what is in none is of the script 0.
@@ -139,7 +139,8 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     def run(batches):
         total = np.zeros((len(langs), width), np.int64)
         for batch in small(batches):
-            texts, own = batch.column("text").to_pylist(), [place[x] for x in batch.column("lang").to_pylist()]
+            both = [(x, place[lang]) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) for _, x in pieces(t, CHUNK)]
+            texts, own = [x for x, _ in both], [k for _, k in both]
             for part in _chunks(texts):
                 w = words_of([texts[k] for k in part])
                 if not len(w.text):
@@ -203,26 +204,56 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return label[place]
 
 
+def _long(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, letters and languages of the words of a text that is looked at piece by piece: as ``viterbi``, the values
+    carried on from piece to piece, only the choices kept."""
+    n_langs = len(model.langs)
+    value, own = np.zeros(n_langs), np.arange(n_langs)
+    found, choices = [np.zeros((3, 0), np.int64)], [np.zeros((0, n_langs), np.int32)]
+    for offset, piece in pieces(text, CHUNK):
+        w = words_of([piece])
+        if not len(w.text):
+            continue
+        found.append(np.stack((w.start + offset, w.end + offset, w.letters)))
+        scores, back = word_scores(w, model), np.empty((len(w.text), n_langs), np.uint8 if n_langs < 256 else np.int32)
+        for k in range(len(scores)):
+            jump = value.max() - SWITCH
+            back[k] = np.where(value >= jump, own, value.argmax())
+            value = np.maximum(value, jump) + scores[k]
+        choices.append(back)
+    start, end, letters = np.concatenate(found, axis=1)
+    label, at, now = np.empty(len(start), np.int64), len(start), int(value.argmax())
+    for back in reversed(choices):
+        for k in range(len(back) - 1, -1, -1):
+            at -= 1
+            label[at] = now
+            now = int(back[k, now])
+    return start, end, letters, label
+
+
 def _label(texts: list[str], model: Model) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """Of each text: language, share of its letters, and spans (start, end, language)."""
+    if len(texts) == 1 and len(texts[0]) > CHUNK:
+        start, end, sizes, label = _long(texts[0], model)
+        text = np.zeros(len(start), np.int64)
+    else:
+        w = words_of(texts)
+        text, start, end, sizes = w.text, w.start, w.end, w.letters
+        n_words = np.bincount(text, minlength=len(texts))
+        some = np.flatnonzero(n_words)
+        label = viterbi(word_scores(w, model), (np.cumsum(n_words) - n_words)[some], n_words[some]) if len(text) else text
     out: list = [("und", 0.0, [])] * len(texts)
-    w = words_of(texts)
-    if not len(w.text):
+    if not len(text):
         return out
-    n_words = np.bincount(w.text, minlength=len(texts))
-    some = np.flatnonzero(n_words)
-    first = (np.cumsum(n_words) - n_words)[some]
-    label = viterbi(word_scores(w, model), first, n_words[some])
-    letters = np.bincount(w.text * len(model.langs) + label, weights=w.letters, minlength=len(texts) * len(model.langs)).reshape(len(texts), -1)
-    change = np.concatenate(([True], (w.text[1:] != w.text[:-1]) | (label[1:] != label[:-1])))
-    begin = np.flatnonzero(change)
+    letters = np.bincount(text * len(model.langs) + label, weights=sizes, minlength=len(texts) * len(model.langs)).reshape(len(texts), -1)
+    begin = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (label[1:] != label[:-1]))))
     stop = np.concatenate((begin[1:], [len(label)])) - 1
     spans: dict[int, list] = {}
-    for k, a, b, x in zip(w.text[begin].tolist(), w.start[begin].tolist(), w.end[stop].tolist(), label[begin].tolist(), strict=True):
+    for k, a, b, x in zip(text[begin].tolist(), start[begin].tolist(), end[stop].tolist(), label[begin].tolist(), strict=True):
         spans.setdefault(k, []).append((a, b, model.langs[x]))
-    for k in some.tolist():
+    for k, own in spans.items():
         best = int(letters[k].argmax())
-        out[k] = model.langs[best], float(letters[k, best] / letters[k].sum()), spans[k]
+        out[k] = model.langs[best], float(letters[k, best] / letters[k].sum()), own
     return out
 
 

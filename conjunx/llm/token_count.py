@@ -17,14 +17,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conjunx.llm.common import mapped, pick, small, table
+from conjunx.llm.common import mapped, pick, pieces, small, table
 
 #: Where the query finds a vocabulary: the session's setting of this name, or else here.
 VOCABULARY_SETTING, VOCABULARY = "spark.conjunx.vocabulary", "/opt/tokenizers/word_bpe_49k.json"
 END = "</w>"
 #: Contractions, runs of letters, single digits, runs of other symbols: the words of this vocabulary.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Words whose counts a worker remembers, and characters that it looks at together.
+#: Words whose counts a worker remembers, and characters that it looks at together; a longer text comes in pieces.
 REMEMBERED, CHUNK = 500_000, 2_000_000
 #: Words of more bytes are walked one by one, others side by side.
 LONG = 64
@@ -144,17 +144,19 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], *, doc_id: str = "doc
     def run(batches):
         automaton, known = _automaton(shared.value)
         for batch in small(batches):
-            texts, n_words, n_tokens, part, size = batch.column("text").to_pylist(), [], [], [], 0
-            for t in [*texts, None]:
-                part.append(t or "")
-                size += len(part[-1])
-                if size > CHUNK or len(n_words) + len(part) > len(texts):
-                    a, b = count_texts(part, automaton, known)
-                    n_words += a
-                    n_tokens += b
-                    part, size = [], 0
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words[:n], pa.int64()), pa.array(n_tokens[:n], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            counts = np.zeros((2, batch.num_rows), np.int64)
+            rows, part, size = [], [], 0
+            for row, t in enumerate(batch.column("text").to_pylist()):
+                for _, piece in pieces(t or "", CHUNK):
+                    rows.append(row)
+                    part.append(piece)
+                    size += len(piece)
+                    if size > CHUNK:
+                        np.add.at(counts, (slice(None), rows), count_texts(part, automaton, known))
+                        rows, part, size = [], [], 0
+            if part:
+                np.add.at(counts, (slice(None), rows), count_texts(part, automaton, known))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts[0]), pa.array(counts[1])], names=["doc_id", "n_words", "n_tokens"])
 
     return mapped(plain, run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
 

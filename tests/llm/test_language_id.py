@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 
 import numpy as np
@@ -105,6 +106,17 @@ def test_script_narrows(model):
     assert (L.word_scores(L.words_of(["日本"]), model) > -L.FOREIGN).all()  # a script of no language leaves all
 
 
+def test_long_texts_come_in_pieces(frame, model, monkeypatch):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices([EN, DE, RU, "12 ", "\n", "x" * 60], k=30)) for _ in range(5)] + ["1 " * 500, "y" * 400, "é " + " " * 300]
+    whole = L._label(texts, model)
+    trained = L.train(frame([(k, t, "a") for k, t in enumerate(texts)]))
+    monkeypatch.setattr(L, "CHUNK", 100)
+    assert [L._label([t], model)[0] for t in texts] == [(x, pytest.approx(s), spans) for x, s, spans in whole]
+    again = L.train(frame([(k, t, "a") for k, t in enumerate(texts)]))
+    assert (again.scores == trained.scores).all() and (again.uses == trained.uses).all()
+
+
 def test_nothing_to_learn_from(frame, spark):
     none = L.train(frame([(1, "text", None), (2, None, "en")]))
     assert none is None
