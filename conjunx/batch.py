@@ -4,7 +4,7 @@ The input folder has db/schema.txt (a table and its columns a line), db/data/<ta
 db/index_info.txt (table, then column, clustered 0 or 1, order, repeated) and queries.sql.  For statement N the
 output folder gets query{N} (pages, if all columns are integers), query{N}_humanreadable (text),
 query{N}_logicalplan and query{N}_physicalplan.  Inputs are never changed: a clustered index is a sorted copy
-in the temporary folder.  A statement that fails does not stop the others; all are numbered by place.
+in the temporary folder, an unclustered one a table there of the pages that have each key.  A statement that fails does not stop the others; all are numbered by place.
 """
 
 from __future__ import annotations
@@ -46,12 +46,11 @@ def open_tables(spark: SparkSession, source: Path, temporary: Path) -> Engine:
     named = [x.split() for x in (source / "db/schema.txt").read_text().splitlines() if x.strip()]
     for table, *columns in named:
         kind = T.StructType([T.StructField(c, T.IntegerType()) for c in columns])
-        engine.register(table, frame=spark.read.format("pages").schema(kind).load(str(source / "db/data" / table)))
+        engine.register(table, str(source / "db/data" / table), format="pages", schema=kind, columns=",".join(columns))
     indexes = source / "db/index_info.txt"
     for table, *rest in (x.split() for x in indexes.read_text().splitlines() if x.strip()) if indexes.exists() else []:
         for column, clustered, _order in zip(rest[::3], rest[1::3], rest[2::3], strict=True):
-            if clustered == "1":
-                engine.cluster(table, column, str(temporary / f"{table}.{column}"))
+            (engine.cluster if clustered == "1" else engine.index)(table, column, str(temporary / f"{table}.{column}"))
     (temporary / "db").mkdir(parents=True, exist_ok=True)
     lines = []
     for table, *columns in named:
@@ -70,8 +69,8 @@ def run_script(engine: Engine, script: str, output: Path) -> list[Outcome]:
         try:
             plan = engine.plan(statement)
             Path(f"{name}_logicalplan").write_text(explain.logical(plan.normal))
-            Path(f"{name}_physicalplan").write_text(explain.physical(plan))
-            df = compiler.build(plan, engine.catalog)
+            df = engine.build(plan)
+            Path(f"{name}_physicalplan").write_text(explain.physical(plan, compiler.chosen_joins(df)))
             began = time.perf_counter()
             if all(isinstance(f.dataType, T.IntegerType) for f in df.schema):
                 paged.register(engine.spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -20,6 +21,8 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).parent
     with tempfile.TemporaryDirectory() as top:
         shutil.copytree(root, f"{top}/all/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="package-"), root.name), "zip", f"{top}/all")
+        folder = tempfile.mkdtemp(prefix="package-")  # of the driver alone, which serves the archive from there
+        archive = shutil.make_archive(os.path.join(folder, root.name), "zip", f"{top}/all")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.addPyFile(archive)
     _SENT.add(context.applicationId)

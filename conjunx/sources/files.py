@@ -1,4 +1,4 @@
-"""Other sources and sinks: rows as text, generated rows, clustered copies."""
+"""Other sources and sinks: rows as text, generated rows, clustered copies, indexes."""
 
 from __future__ import annotations
 
@@ -12,8 +12,13 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary one only where none is configured."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new path in the folder that all executors share.  Where none is configured: a temporary one if the driver
+    runs all tasks itself, else an error."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
@@ -40,3 +45,9 @@ def cluster(df: DataFrame, key: str, path: str, partitions: int | None = None, b
     if bloom:
         out = out.option(f"parquet.bloom.filter.enabled#{key}", "true")
     out.parquet(path)
+
+
+def index(df: DataFrame, key: str, places: tuple[str, ...], path: str) -> None:
+    """The distinct keys of ``df`` with the ``places`` (columns) that have them, sorted by key: which files or pages a bound on the
+    key leaves to be read."""
+    cluster(df.select(F.col(f"`{key}`").alias("key"), *places).where("key is not null").distinct(), "key", path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from conjunx.engine import Engine
 from conjunx.plans.builder import Select, Value
@@ -82,6 +83,62 @@ def clustered_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = 77")
 
 
+def clustered_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bound so wide that the table is scanned although a sorted copy is there."""
+    e = engine(spark, sf_dir).cluster("orders", "o_custkey", files.scratch(spark, "clustered"))
+    return e.sql("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 1")
+
+
+def unclustered_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An equality that an index of the files' keys answers: of many files those are read that have the key."""
+    path = files.scratch(spark, "orders")
+    engine(spark, sf_dir).catalog.read("orders").repartitionByRange(16, "o_orderdate").write.parquet(path)
+    e = Engine(spark).register("orders", path).index("orders", "o_orderkey", files.scratch(spark, "index"))
+    return e.sql("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77")
+
+
+def paged_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a filter that the reader applies, columns that it does not decode, and an index of pages."""
+    paged.register(spark)
+    path = files.scratch(spark, "pages")
+    rows = engine(spark, sf_dir).catalog.read("orders").selectExpr("cast(o_custkey as int) a", "cast(o_orderkey as int) b", "cast(o_orderkey % 7 as int) c")
+    rows.write.format("pages").mode("append").save(path)
+    e = Engine(spark).register("orders", path, format="pages", schema=rows.schema, columns="a,b,c").index("orders", "b", files.scratch(spark, "index"))
+    return e.sql("SELECT x.a, y.c FROM orders x, orders y WHERE x.b = 42 AND y.c = 3 AND x.a = y.a")
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logical plan of a query and the physical one of another, a row a line."""
+    e = engine(spark, sf_dir).cluster("lineitem", "l_orderkey", files.scratch(spark, "clustered"))
+    logical, _ = e.explain("SELECT DISTINCT c.c_custkey FROM customer c, nation n WHERE c.c_nationkey = n.n_nationkey AND n.n_nationkey < 3 ORDER BY c.c_custkey")
+    _, physical = e.explain("SELECT l_orderkey FROM lineitem WHERE l_orderkey < 5 AND l_linenumber <> 2")
+    return spark.createDataFrame(list(enumerate([*logical.splitlines(), *physical.splitlines()])), "n long, line string")
+
+
+EXPLAINED = """DupElim
+-Sort[c.c_custkey]
+--Project[c.c_custkey]
+---Join[null]
+---[[c.c_nationkey, n.n_nationkey], equals null, min null, max 3]
+----Select[c.c_nationkey < 3]
+-----Leaf[customer]
+----Select[n.n_nationkey < 3]
+-----Leaf[nation]
+Project[lineitem.l_orderkey]
+-Select[lineitem.l_orderkey < 5 AND lineitem.l_linenumber <> 2]
+--IndexScan[lineitem,l_orderkey,None,5]""".splitlines()
+
+
+def catalog_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalog says of a table, a row a line, but for where it is."""
+    e = engine(spark, sf_dir)
+    e.catalog.stats("nation", ("n_nationkey",))
+    text = e.catalog.describe().splitlines()
+    at = next(k for k, x in enumerate(text) if x.startswith("nation:"))
+    lines = ["nation: " + text[at].rsplit(", ", 1)[1], *(x.strip() for x in text[at + 1 : at + 4])]
+    return spark.createDataFrame(list(enumerate(lines)), "n long, line string")
+
+
 def paged_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Integers written to pages and read back."""
     paged.register(spark)
@@ -105,8 +162,10 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded random rows."""
-    return files.generate(spark)
+    """Seeded random rows: by column their number, whether all are in range, and whether nearly every value occurs."""
+    df = files.generate(spark)
+    each = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n_rows"), ((F.min(c) >= 0) & (F.max(c) < 1000)).alias("in_range"), (F.count_distinct(F.col(c)) > 950).alias("spread")) for c in df.columns]
+    return df.agg(F.array(*each).alias("all")).select(F.inline("all"))
 
 
 PROGRAMS = {
@@ -119,7 +178,17 @@ PROGRAMS = {
         statistics,
         " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, CAST(min({c}) AS VARCHAR) AS low, CAST(max({c}) AS VARCHAR) AS high FROM customer" for c in ("c_custkey", "c_nationkey", "c_acctbal")),
     ),
-    "generated": (generated, None),
+    "clustered_wide": (clustered_wide, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 1"),
+    "unclustered_equal": (unclustered_equal, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77"),
+    "paged_filter": (paged_filter, "SELECT CAST(x.o_custkey AS INTEGER) AS a, CAST(y.o_orderkey % 7 AS INTEGER) AS c FROM orders x, orders y WHERE x.o_orderkey = 42 AND y.o_orderkey % 7 = 3 AND x.o_custkey = y.o_custkey"),
+    "explained": (explained, " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS n, '{line}' AS line" for k, line in enumerate(EXPLAINED))),
+    "catalog_text": (
+        catalog_text,
+        "SELECT CAST(0 AS BIGINT) AS n, 'nation: ' || count(*) || ' rows' AS line FROM nation"
+        " UNION ALL SELECT 1, 'n_nationkey int [' || min(n_nationkey) || ' .. ' || max(n_nationkey) || ']' FROM nation"
+        " UNION ALL SELECT 2, 'n_name string' UNION ALL SELECT 3, 'n_regionkey int'",
+    ),
+    "generated": (generated, " UNION ALL ".join(f"SELECT 'c{k}' AS \"column\", CAST(6000 AS BIGINT) AS n_rows, true AS in_range, true AS spread" for k in range(6))),
 }
 
 

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 from conjunx import DialectError, Engine, Select
-from conjunx.plans import joinorder
+from conjunx.plans import access, joinorder
 from conjunx.plans.joinorder import Stats
+from conjunx.plans.model import Interval
 from conjunx.suite import QUERIES, SQL, TABLES, engine
 
 
@@ -194,8 +195,20 @@ def test_explain(e):
         "----Select[n.n_nationkey < 3]",
         "-----Leaf[nation]",
     ]
-    assert physical.splitlines()[:4] == ["DupElim", "-ExternalSort[c.c_custkey]", "--Project[c.c_custkey, n.n_name]", "---SMJ[c.c_nationkey = n.n_nationkey AND c.c_custkey < n.n_regionkey]"]
-    assert "BNLJ[null]" in e.explain(Select("n_name", "r_name").from_("nation").from_("region"))[1]
+    assert physical.splitlines()[:4] == ["DupElim", "-ExternalSort[c.c_custkey]", "--Project[c.c_custkey, n.n_name]", "---BHJ[c.c_nationkey = n.n_nationkey AND c.c_custkey < n.n_regionkey]"]
+    assert e.explain(Select("n_name", "r_name").from_("nation").from_("region"))[1].splitlines()[1] in ("-BNLJ[null]", "-CP[null]")
+
+
+def test_explained_joins_are_those_that_spark_plans(e, spark):
+    q = "SELECT o.o_orderkey FROM orders o, customer c, nation n WHERE o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey"
+    names = lambda: [x.strip("-").split("[")[0] for x in e.explain(q)[1].splitlines() if "J[" in x]
+    assert names() == ["BHJ", "BHJ"]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert names() == ["SMJ", "SMJ"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_clustered_copy_is_used(spark, data, tmp_path, db):
@@ -204,3 +217,62 @@ def test_clustered_copy_is_used(spark, data, tmp_path, db):
     assert "IndexScan[orders,o_custkey,20,30]" in e.explain(q)[1]
     same(rows(e.sql(q)), db.sql(q).fetchall())
     assert "TableScan[orders]" in e.explain("SELECT o_orderkey FROM orders")[1]
+    wide = "SELECT o_orderkey FROM orders WHERE o_custkey >= 1"
+    assert "TableScan[orders]" in e.explain(wide)[1]
+    same(rows(e.sql(wide)), db.sql(wide).fetchall())
+
+
+def test_copies_of_a_table_that_changed_are_not_read(spark, data, tmp_path):
+    path = str(tmp_path / "orders")
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    orders.write.parquet(path)
+    e = Engine(spark).register("orders", path).cluster("orders", "o_custkey", str(tmp_path / "copy")).index("orders", "o_orderkey", str(tmp_path / "index"))
+    q = "SELECT o_orderkey FROM orders WHERE o_custkey = 20"
+    assert "IndexScan" in e.explain(q)[1] and len(e.catalog.layouts("orders")) == 2
+    orders.where("o_custkey = 20").write.mode("append").parquet(path)
+    fresh = Engine(spark).register("orders", path)
+    fresh.catalog._entry("orders").layouts.update(e.catalog._entry("orders").layouts)
+    assert "TableScan" in fresh.explain(q)[1] and fresh.catalog.layouts("orders") == []
+    assert len(rows(fresh.sql(q))) == 2 * orders.where("o_custkey = 20").count()
+
+
+def test_index_reads_the_files_that_have_the_key(spark, data, tmp_path, db):
+    spark.read.parquet(f"{data}/orders.parquet").repartitionByRange(8, "o_orderkey").write.parquet(str(tmp_path / "orders"))
+    e = Engine(spark).register("orders", str(tmp_path / "orders")).index("orders", "o_orderkey", str(tmp_path / "index"))
+    q = "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77"
+    assert "IndexScan[orders,o_orderkey,77,77]" in e.explain(q)[1]
+    df = e.sql(q)
+    assert len(df.inputFiles()) == 1 and len(e.sql("SELECT o_orderkey FROM orders").inputFiles()) == 8
+    same(rows(df), db.sql(q).fetchall())
+    assert rows(e.sql("SELECT o_custkey FROM orders WHERE o_orderkey = -5")) == []
+
+
+def test_costs():
+    stats, bound = Stats(100_000, {"a": (0, 999), "b": (0, 999)}), lambda low, high: {"a": Interval(low, high)}
+    both = {("clustered", "a"): 4, ("unclustered", "a"): 4}
+    assert access.choose(stats, 40, 500, bound(5, 5), both).kind == "clustered"  # 3 + 1 pages of 977
+    assert access.choose(stats, 40, 500, {}, both).kind == "scan" and access.choose(stats, 40, 500, bound(0, None), both).kind == "scan"
+    only = {("unclustered", "a"): 4}
+    assert access.choose(stats, 40, 977, bound(5, 5), only).cost == 3 + 1 + 100  # a page for each of 100 rows
+    assert access.choose(stats, 40, 977, bound(0, 99), only).kind == "scan"  # 10,000 rows are on all pages
+    assert access.choose(Stats(10, {"a": (0, 9)}), 40, 1, bound(1, 1), both).kind == "scan"  # one page is read faster
+
+
+def test_distinct_without_order(spark, data, db):
+    loose = engine(spark, data)
+    loose.ordered_distinct = False
+    q = "SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem"
+    df = loose.sql(q)
+    assert "Sort [" not in df._jdf.queryExecution().optimizedPlan().toString()
+    same(rows(df), db.sql(q).fetchall())
+    assert rows(loose.sql(f"{q} ORDER BY l_linenumber")) == db.sql(f"{q} ORDER BY l_linenumber, l_suppkey").fetchall()
+
+
+def test_planning_leaves_the_session_as_it_is(spark, data):
+    before = spark.conf.get("spark.sql.sources.useV1SourceList"), spark.conf.get("spark.sql.parquet.aggregatePushdown")
+    seen = []
+    e = engine(spark, data)
+    measured = e.catalog._measured
+    e.catalog._measured = lambda *a: seen.append(spark.conf.get("spark.sql.sources.useV1SourceList")) or measured(*a)
+    e.catalog.stats("orders", ("o_orderkey",))
+    assert seen == [before[0]] and before[1] == spark.conf.get("spark.sql.parquet.aggregatePushdown")
