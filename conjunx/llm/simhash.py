@@ -9,6 +9,7 @@ are then compared by the sets of those shingles, and only pairs alike make group
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ SEED = 42
 TOGETHER = 1 << 12
 #: A component of more shingles is split into parts, and every pair of parts is looked at by itself.
 PART_SHINGLES = 700_000
+#: Nodes of a component of several parts that are compared with all others, and how many of these are broadcast at most.
+PIVOTS, MOST_PIVOTS = 8, 4000
 #: Ids of copies are broadcast up to this number of rows, some 80 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -41,8 +44,7 @@ def shingles(text: bytes, size: int) -> list[bytes]:
 
 
 def hashes(parts: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts))
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -195,7 +197,8 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
 
     Every pair of a component counts, not the links alone: these are a forest for the fingerprints, and a pair
     alike may be joined in it over a third node that is like neither.  A component of more than
-    ``PART_SHINGLES`` shingles is split into parts, and each pair of parts is looked at by itself.
+    ``PART_SHINGLES`` shingles is split into parts, and each pair of parts is looked at by itself, but for pairs of
+    parts that verified pairs with pivots connect (``_tied``).
     ``nodes``: node, id and raw of a row of it; ``docs``: doc_id, raw, text."""
     roots = stars(links)
     members = roots.toDF("id", "component").unionAll(roots.select("b", "b")).distinct()
@@ -216,10 +219,15 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
 
     found = docs.join(members, (F.col("raw") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("component", "node", "text")
     sets = cut(mapped(found, shingled, "component long, node long, set array<long>"))
-    parts = sets.groupBy("component").agg(F.ceil(F.sum(F.size("set")) / PART_SHINGLES).cast("long").alias("parts")).withColumnRenamed("component", "c")
+    sets, tied = _tied(sets, similarity)
+    of = lambda which: F.ceil(F.coalesce(F.sum(F.when(which, F.size("set"))), F.lit(0)) / PART_SHINGLES).cast("long")
+    parts = sets.groupBy(F.col("component").alias("c")).agg(of(~F.col("tied")).alias("q"), of(F.col("tied")).alias("p"))
     rows = sets.join(parts, F.col("component") == F.col("c"))
-    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j")))
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit("part")), F.greatest(n, F.lit(1)))
+    part = F.when(F.col("tied"), F.col("q") + own(F.col("p"))).otherwise(own(F.col("q")))
+    last = F.when(F.col("tied"), F.col("q") - 1).otherwise(F.col("q") + F.col("p") - 1)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0))), lambda k: F.struct(F.least(k, part).alias("i"), F.greatest(k, part).alias("j")))
+    pairs = F.when(last >= 0, pairs).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
     rows = rows.select("component", "node", "set", F.inline(pairs).alias("i", "j"))
     keys = ("component", "i", "j")
     rows = rows.select(*keys, "node", "set").repartition(session_parts(docs.sparkSession), *keys).sortWithinPartitions(*keys, "node")
@@ -243,7 +251,50 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
                 names.append(name)
         yield from give()
 
-    return mapped(rows, run, "a long, b long")
+    found = mapped(rows, run, "a long, b long")
+    return found if tied is None else found.unionAll(tied)
+
+
+def _tied(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """``sets`` with tied: whether a node of a component of several parts is connected to most others by verified pairs
+    with pivots; and these pairs.
+
+    ``PIVOTS`` nodes of such a component are compared with all others.  Nodes of the largest group that this makes are connected
+    already, so pairs among them need not be looked at: a large group of near copies costs its size, and its size times
+    what is not in that group.  No result depends on it.  Pivots are broadcast up to ``MOST_PIVOTS``; of more large components,
+    nothing is tied."""
+    large = sets.groupBy(F.col("component").alias("c")).agg(F.sum(F.size("set")).alias("n")).where(F.col("n") > PART_SHINGLES)
+    large = cut(large.select("c"))
+    if large.isEmpty() or large.count() * PIVOTS > MOST_PIVOTS:
+        return sets.withColumn("tied", F.lit(False)), None
+    own = sets.join(F.broadcast(large), F.col("component") == F.col("c")).select("component", "node", "set")
+    rank = F.xxhash64("node", F.lit("pivot"))
+    chosen = own.groupBy("component", F.pmod(rank, F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct("node", "set"), rank).alias("s")).collect()
+    pivots: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for r in chosen:
+        pivots.setdefault(r.component, []).append((r.s.node, np.array(r.s.set, np.int64)))
+    shared = sets.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches):
+        for batch in small(batches):
+            a, b = [], []
+            for component, node, own_set in zip(batch.column("component").to_pylist(), batch.column("node").to_pylist(), batch.column("set"), strict=True):
+                mine = own_set.values.to_numpy()
+                for pivot, other in shared.value[component]:
+                    n, m = len(mine), len(other)
+                    if node == pivot or min(n, m) < similarity * max(n, m) - 1e-9:
+                        continue
+                    same = len(np.intersect1d(mine, other, assume_unique=True))
+                    if same >= similarity * (n + m - same) - 1e-9:
+                        a.append(max(node, pivot))
+                        b.append(min(node, pivot))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    pairs = cut(mapped(own, run, "a long, b long").distinct())
+    rooted = cut(own.select("component", "node").join(stars(pairs), F.col("node") == F.col("a"), "left").select("component", "node", F.coalesce("b", "node").alias("root")))
+    most = rooted.groupBy("component", "root").count().groupBy(F.col("component").alias("c")).agg(F.max_by("root", "count").alias("most"))
+    ties = rooted.join(F.broadcast(most), (F.col("component") == F.col("c")) & (F.col("root") == F.col("most"))).select(F.col("node").alias("tie"))
+    return sets.join(ties, F.col("node") == F.col("tie"), "left").select("component", "node", "set", F.col("tie").isNotNull().alias("tied")), pairs
 
 
 def _groups(docs: DataFrame, size: int, similarity: float, seeds: int, radius: int) -> DataFrame:

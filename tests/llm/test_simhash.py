@@ -240,6 +240,30 @@ def test_members_less_alike_than_their_base(frame, monkeypatch, part):
     assert gone == {*range(21, len(rows) - 1), 100_000}
 
 
+@pytest.mark.parametrize(("part", "pivots"), [(300, 1), (300, 4), (2000, 8), (10**6, 8)])
+def test_large_components_against_all_pairs(spark, monkeypatch, part, pivots):
+    """One component of several families, some alike to each other over single members only; parts and pivots change nothing."""
+    monkeypatch.setattr(simhash, "PART_SHINGLES", part)
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
+    draw = random.Random(part + pivots)
+    texts = []
+    for _ in range(4):
+        text = [f"w{draw.randrange(10**6)}" for _ in range(60)]
+        for _ in range(draw.choice((3, 30))):
+            text = list(text) if draw.random() < 0.7 else list(texts[-1]) if texts else list(text)
+            text[draw.randrange(60)] = f"w{draw.randrange(10**6)}"
+            texts.append(text)
+    texts = list(dict.fromkeys(" ".join(t) for t in texts))
+    docs = spark.createDataFrame([(k, t, bytes([k])) for k, t in enumerate(texts)], "doc_id long, text string, raw binary")
+    nodes = docs.selectExpr("doc_id + 500 node", "doc_id id", "raw")
+    links = spark.createDataFrame([(500 + k, 500) for k in range(1, len(texts))], "a long, b long")
+    found = [tuple(r) for r in simhash._verified(links, nodes, docs, 5, 0.8).collect()]
+    alike = [(500 + a, 500 + b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert set(found) <= set(alike) and joined(found) == joined(alike)
+    if part == 300 and pivots == 4:
+        assert simhash._tied(spark.createDataFrame([(1, k, list(range(50 - k % 3))) for k in range(40)], "component long, node long, set array<long>"), 0.8)[0].where("tied").count() == 40
+
+
 def test_forest_against_all_pairs():
     draw = random.Random(3)
     for _ in range(60):
