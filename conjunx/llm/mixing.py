@@ -29,8 +29,8 @@ SHARDS = 16
 WEIGHTS = (5, 2, 1)
 #: Sources and blocks whose quotas are split at once on the driver.
 CHUNK, CHUNK_BLOCKS = 50_000, 500_000_000
-#: Words of a shard that are sorted in one task.
-SLICE_WORDS = 10_000_000
+#: Words of a shard that are sorted in one task: so many that there are some ``TASKS`` tasks, but at least and at most these.
+SLICE_WORDS, TASKS = (2_000_000, 50_000_000), 20_000
 #: Tables of blocks and of sources are broadcast up to this number of rows, some 50 MB; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -186,7 +186,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     few = cut(sized.select("_source", "_size", "_mark"))
     plan = _Plan(few, weights, share, most, shards, seed)
     words = plan.sources.agg(F.sum("target")).first()[0] or 0.0
-    slices = max(1, int(np.ceil(words / shards / SLICE_WORDS)))
+    least, most_words = SLICE_WORDS
+    slices = max(1, int(np.ceil(words / shards / min(most_words, max(least, words / TASKS)))))
     out = plan.drawn(sized, seed).select(*(f"c{k}" for k in range(len(own))), F.inline("draws").alias("mix_pass", "mix_words", "mix_shard", "mix_position"))
     part = (F.col("mix_shard") * slices + F.floor((F.col("mix_position") / 2.0**64 + 0.5) * slices).cast("int")).cast("int")
     out = out.withColumn("_part", F.least(part, F.lit(shards * slices - 1))).repartitionById(shards * slices, F.col("_part")).drop("_part")

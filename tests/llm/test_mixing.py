@@ -164,7 +164,7 @@ def test_blocks_are_permuted_by_seed_and_source(frame):
 
 def test_shards_are_shuffled_inside(frame, monkeypatch):
     """Each task has rows of one shard, in order of position; a shard's tasks follow each other."""
-    monkeypatch.setattr(M, "SLICE_WORDS", 100)
+    monkeypatch.setattr(M, "SLICE_WORDS", (100, 100))
     rows = [(k, "w " * 3, None, "s") for k in range(1000)]
     parts = [p for p in M.mix(frame(rows), shards=4).select("doc_id", "mix_shard", "mix_position").rdd.glom().collect() if p]
     order = [(r.mix_shard, r.mix_position) for p in parts for r in p]
