@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 
 import numpy as np
@@ -64,14 +67,27 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
+def trimmed() -> None:
+    """Gives a worker's free memory back to the system: workers stay for other tasks, and beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package on the workers and small batches."""
+    """``df.mapInArrow``, with this package on the workers and small batches; a task ends with ``trimmed``."""
+
+    def then_trimmed(batches):
+        yield from run(batches)
+        trimmed()
+
     spark = df.sparkSession
     ship(spark)
     for k, v in BATCHES.items():
         if spark.conf.get(k) != v:
             spark.conf.set(k, v)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(then_trimmed, schema)
 
 
 def _bytes(batch: pa.RecordBatch) -> np.ndarray:
