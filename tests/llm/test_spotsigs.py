@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import re
 from zlib import crc32
@@ -50,11 +51,12 @@ def plain_signatures(text):
     parts = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
     if not parts:
         return {crc32(text.encode())} if text else set()
-    out = set()
+    out, content = set(), [k for k, w in enumerate(parts) if w not in S.ANCHORS]
     for k in range(-1, len(parts)):
         if k >= 0 and parts[k] not in S.ANCHORS:
             continue
-        chain = [w for w in parts[k + 1 :] if w not in S.ANCHORS][:2]
+        after = bisect.bisect(content, k)
+        chain = [parts[j] for j in content[after : after + 2]]
         if len(chain) < 2:
             continue
         h = 1 << 32 if k < 0 else crc32(parts[k].encode())
