@@ -64,7 +64,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 #: Rows and bytes that go to a worker at once, and back: settings of the session, so that a task holds little besides its rows.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def trimmed() -> None:
